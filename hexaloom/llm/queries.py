@@ -34,6 +34,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,7 +108,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op6_token_file, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op8_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
