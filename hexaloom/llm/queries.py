@@ -51,6 +51,14 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, digest=True)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, find_secrets, spans_text
+
+    found = find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    spans = F.col("spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text(spans, list(BASE)), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -108,7 +116,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op7_secret_scan, op8_sharding, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
