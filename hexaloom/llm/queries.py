@@ -73,6 +73,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0, capacity=2048)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """Fitted on labelled rows outside the held-out fold: those whose crc32(doc_id as text) mod 4 isn't 2."""
+    from .toxicity import fit_toxicity
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return fit_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
 _URL_SQL = """
 WITH cut AS (
   SELECT page_id,
@@ -116,7 +131,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op7_secret_scan, op8_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op7_secret_scan, op8_sharding, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
