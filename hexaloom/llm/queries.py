@@ -40,6 +40,12 @@ def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,7 +137,7 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op6_token_file, op7_secret_scan, op8_sharding, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op5_html_text, op6_token_file, op7_secret_scan, op8_sharding, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
