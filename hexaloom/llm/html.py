@@ -31,7 +31,9 @@ _ENDS = {"li": ("li", ("ul", "ol", "menu", "dir")), "dd": ("dd dt", ("dl",)), "d
 NEVER = frozenset("script style noscript template svg math canvas iframe object embed audio video map head title nav aside footer form button input select textarea label dialog menu datalist".split())
 #: Words of class, id and role that say the same of any element.
 _SAYS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|foot(?:er)?|masthead|banner|side-?bar|aside|widget|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|sign-?up|login|search|share|sharing|social|related|recommended|comments?|discussion|disqus|replies|respond|pagination|pager|toolbar|skip(?:-link)?|copyright|legal|site-?header|page-?header|top-?bar|complementary|contentinfo|alert)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:(?:top|sub|main|site|left|right|side)?nav(?:bar|igation|links?)?|(?:sub)?menu|breadcrumbs?|foot(?:er)?|masthead|banner|side-?bar|aside|widgets?|ad-?(?:s|box|slot|unit|banner|container|wrapper|block)?\d*|advert(?:s|isements?|ising)?|"
+    r"sponsor(?:ed|s)?|promo(?:tion)?s?|teasers?|trending|popular|most-?read|cookies?|consent|gdpr|notices?|notifications?|announcements?|disclaimer|popup|modal|overlay|dialog|newsletter|subscribe|sign-?up|login|form|search|share|sharing|social|"
+    r"related|recommended|comments?|commentlist|discussion|disqus|replies|respond|pagination|pager|toolbar|skip(?:-?link)?|copyright|legal|site-?header|page-?header|top-?bar|complementary|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?:$|[\s_-])", re.I)
@@ -59,7 +61,7 @@ class _Builder(HTMLParser):
             own, stop = _ENDS[tag]
             self._end_open(tuple(own.split()), stop)
         said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+        if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v, re.I)) for k, v in attrs):
             said += " hidden"
         node = Node(tag, said, self.at)
         self.at.children.append(node)
@@ -168,7 +170,7 @@ def main_text(html: str | None, dull: frozenset[int] | set[int] = frozenset()) -
 
 
 def _never(node: Node, inside: bool) -> bool:
-    if node.tag in NEVER or (node.tag == "header" and not inside):
+    if node.tag in NEVER or (not inside and (node.tag == "header" or (node.tag == "div" and "header" in node.attrs.lower().split()))):
         return True
     return bool(node.attrs) and node.tag not in ("body", "html") and (" hidden" in f" {node.attrs}" or (_SAYS.search(node.attrs) is not None and not (_MAIN.search(node.attrs) and node.tag in ("article", "main"))))
 
