@@ -6,7 +6,7 @@ import math
 from html import escape
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lattice, umatrix
@@ -46,6 +46,17 @@ def sample_labels(ranked: DataFrame, names: list | None = None) -> DataFrame:
     return first.join(totals, "bmu").select("bmu", F.concat("f.sample_id", F.lit("("), "f.rank", F.lit("/"), "total", F.lit(")")).alias("text"))
 
 
+def flag_mode(rows: DataFrame) -> DataFrame:
+    """(bmu, flag): what most of a neuron's samples (bmu, flag) have; the least of equally common flags."""
+    counted = rows.where("bmu IS NOT NULL AND flag IS NOT NULL").groupBy("bmu", "flag").agg(F.count("*").alias("n"))
+    return counted.groupBy("bmu").agg(F.min(F.struct((-F.col("n")).alias("n"), "flag")).alias("m")).select("bmu", "m.flag")
+
+
+def binary(c: Column) -> Column:
+    """0 below one half, else 1: a restored 0/1 feature as a flag."""
+    return F.when(c < 0.5, 0).otherwise(1)
+
+
 def component_planes(spark: SparkSession, weights: np.ndarray, features: list[str], columns: int, rows: int, grid: tuple[int, int] = (4, 4)) -> DataFrame:
     """(feature, page, cell, neuron, cx, cy, value): every feature's weights over the map, and its place in a collage of grid cells a page."""
     at = lattice.neurons(spark, columns, rows).select("neuron", "hex_x", "hex_y")

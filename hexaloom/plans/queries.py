@@ -20,6 +20,7 @@ from ..operators.assign import assign, assign_sql, bmu
 from ..operators.update import smooth, voronoi_sums
 
 from .estimator import SelfOrganizingMap
+from .schedule import fine, rough
 
 Query = Callable[[SparkSession, str], DataFrame]
 C, R, K = 8, 6, 48
@@ -486,6 +487,62 @@ def roc_auc(spark, d):
     return evaluate.auc(evaluate.roc(scored(spark, d))).withColumn("auc", r6(F.col("auc")))
 
 
+# --- the rest ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {E}, {W0}, {_search(0)} SELECT n + 1 AS bmu, CAST(row_number() OVER (PARTITION BY n ORDER BY round(sqrt(d2), 9), CASE WHEN id % 2 = 0 THEN 'T' ELSE 'P' END || id) AS INT) AS rank, CASE WHEN id % 2 = 0 THEN 'T' ELSE 'P' END || id AS sample_id FROM b0")
+def rep_samples_projected(spark, d):
+    named = lambda even, prefix: vectors(spark, d).where(F.col("sample_id") % 2 == (0 if even else 1)).select(F.concat(F.lit(prefix), "sample_id").alias("sample_id"), "x")
+    return samples.representatives(named(True, "T").unionByName(named(False, "P")), first_codebook(spark, d)).select("bmu", "rank", "sample_id")
+
+
+@query(f"WITH full_e AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), e AS (SELECT * FROM full_e WHERE pos <= 60), w0 AS (SELECT CAST(id AS INT) AS n, pos, v FROM full_e WHERE id < {K}), {_search(0)} SELECT f.id AS sample_id, CAST(f.pos - 1 AS INT) AS pos, round(CASE WHEN f.pos <= 60 THEN f.v ELSE w.v END, 6) + 0.0 AS value FROM full_e f JOIN b0 USING (id) JOIN w0 w ON w.n = b0.n AND w.pos = f.pos")
+def project_impute(spark, d):
+    w = first_codebook(spark, d)
+    a = assign(vectors(spark, d).select("sample_id", F.slice("x", 1, 60).alias("x")), w[:, :60])
+    padded = a.withColumn("x", F.concat("x", F.array_repeat(F.lit(None).cast("double"), 4)))
+    return samples.fill_from_neuron(padded, w).select("sample_id", F.posexplode("x").alias("pos", "v")).select("sample_id", "pos", r6(F.col("v")).alias("value"))
+
+
+@query(f"WITH {E}, {W0}, {_search(0)}, c AS (SELECT n + 1 AS bmu, label % 2 AS flag, count(*) AS k FROM b0 JOIN embeddings ON vec_id = id GROUP BY 1, 2) SELECT bmu, flag FROM (SELECT *, row_number() OVER (PARTITION BY bmu ORDER BY k DESC, flag) AS rk FROM c) WHERE rk = 1")
+def flag_mode(spark, d):
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("v"), (F.col("label") % 2).alias("flag"))
+    return plotdata.flag_mode(assign(vectors(spark, d), first_codebook(spark, d)).join(labels, F.col("sample_id") == F.col("v")))
+
+
+_MINIMA = f"{_SERIES}, t AS (SELECT *, lag(dbi) OVER w AS a, lead(dbi) OVER w AS b FROM s WINDOW w AS (PARTITION BY iteration ORDER BY k)), low AS (SELECT iteration, k, row_number() OVER (PARTITION BY iteration ORDER BY dbi, k) AS place, count(*) OVER (PARTITION BY iteration) AS n FROM t WHERE coalesce(dbi < a, true) AND coalesce(dbi < b, true))"
+_PICKS = " UNION ALL ".join(f"SELECT '{n}' AS pick, k FROM low WHERE {c}" for n, c in (("first", "place = 1"), ("second", "place = 2"), ("third", "place = 3"), ("median", "place = (n + 1) // 2"), ("max", "place = n")))
+
+
+@query(f"WITH {_MINIMA}, p AS ({_PICKS}), g AS (SELECT pick, k, count(*) AS wins FROM p GROUP BY 1, 2) SELECT pick, k, wins, round(100.0 * wins / sum(wins) OVER (PARTITION BY pick), 2) AS percent FROM g")
+def minima_summary(spark, d):
+    return cluster.minima_summary(series(spark, d))
+
+
+@query("WITH t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in TABLES) + """), c AS (SELECT tbl, n, 24.0 AS ms, 336.0 / n AS mpd FROM t)
+SELECT tbl, 'rough' AS phase, CAST(least(ceil(30 * mpd), 1000) * 2 AS INT) AS epochs, greatest(1.0, ceil(ms / 3)) AS first, greatest(1.0, ceil(ms / 3) / 4) AS last FROM c
+UNION ALL SELECT tbl, 'fine', CAST(least(ceil(50 * mpd), 1000) * 2 AS INT), greatest(1.0, ms / 8), greatest(1.0, ms / 8 / 25) FROM c""")
+def training_schedule(spark, d):
+    counts = {t: read(spark, d, t).count() for t in TABLES}
+    rows = [(t, p.name, p.epochs, p.first, p.last) for t, n in counts.items() for p in (rough(24, 14, n, factor=2), fine(24, 14, n, factor=2))]
+    return spark.createDataFrame(rows, "tbl string, phase string, epochs int, first double, last double")
+
+
+@query(f"WITH {NEAR} SELECT a.n AS a, b.m AS b, c.m AS c FROM cell a JOIN near b ON b.n = a.n AND b.k = 0 JOIN near c ON c.n = a.n AND c.k = 1 UNION ALL SELECT a.n, b.m, c.m FROM cell a JOIN near b ON b.n = a.n AND b.k = 1 JOIN near c ON c.n = a.n AND c.k = 2")
+def torus_triangles(spark, d):
+    return plotdata.torus_triangles(spark, C, R)
+
+
+@query()
+def cluster_parts(spark, d):
+    return cluster.parts(spark, fixed_labels(spark, d) + 1, C, R)
+
+
+@query()
+def davies_bouldin_scan(spark, d):
+    return cluster.davies_bouldin_scan(spark, first_codebook(spark, d), max_clust=8, n_iter=5)
+
+
 QUERIES["voronoi_sums"] = QUERIES.pop("voronoi_sums_query")
 SQL["voronoi_sums"] = SQL.pop("voronoi_sums_query")
 SQL["bmu_assign_native"] = SQL["bmu_assign"]

@@ -42,6 +42,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def write_workbook(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
+    """An xlsx file on the driver's disk, for tables of a map's size; needs openpyxl, and refuses tables that a sheet can't hold."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as e:
+        raise ImportError("xlsx needs openpyxl; write parquet or csv instead") from e
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows; write parquet or csv instead")
+    df.toPandas().to_excel(path, index=False)
+
+
 def _write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
