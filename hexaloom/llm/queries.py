@@ -84,7 +84,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str):
     from .toxicity import fit_toxicity
 
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return fit_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return fit_toxicity(table(spark, sf_dir, "documents"), labels)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,22 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS least_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least_id, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least_id, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_url_filter, op4_embedding_links, op5_html_text, op6_token_file, op7_secret_scan, op8_sharding, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _DECONTAMINATION_SQL, "op3_url_filter": _URL_SQL}
+    return {"op1_decontamination": _DECONTAMINATION_SQL, "op3_url_filter": _URL_SQL, "op4_embedding_links": _LINKS_SQL}
