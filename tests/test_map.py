@@ -234,6 +234,8 @@ def test_store(spark, points, tmp_path):
     a = store.from_array(spark, np.array([[1.0, np.nan]]))
     assert a.columns == ["sample_id", "Var_1", "Var_2"] and a.first().Var_2 is None
     assert store.history(model, spark).count() == 16
+    with pytest.raises((ImportError, ValueError)):
+        store.write_workbook(df, f"{tmp_path}/x.xlsx", most_rows=1)
     assert store.numbered(df, "sample_id").columns[0] == "sample_id"
 
 
@@ -249,6 +251,12 @@ def test_plots(spark, points):
     assert image.count("<polygon") == 96 and "&lt;a&gt;" in image
 
 
+def test_flags(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (2, 0), (None, 1)], "bmu int, flag int")
+    assert sorted(tuple(r) for r in plotdata.flag_mode(rows).collect()) == [(1, 0), (2, 1)]
+    assert [r[0] for r in spark.createDataFrame([(0.49,), (0.5,)], "p double").select(plotdata.binary(F.col("p"))).collect()] == [0, 1]
+
+
 def test_streams(spark, points, tmp_path):
     model = fit(spark, points)
     df = table(spark, points)
