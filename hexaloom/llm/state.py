@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. A session without one, as in tests, gets a folder of its own in local mode only."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.hexaloom.shared.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.hexaloom.shared.dir", None)
     if path:
         return path.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="hexaloom-")
+    own = tempfile.mkdtemp(prefix="hexaloom-")
+    atexit.register(shutil.rmtree, own, True)
+    path = "file://" + own
     spark.conf.set("spark.hexaloom.shared.dir", path)
     return path
 
