@@ -26,8 +26,8 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold. The model is fitted on the labelled ones outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__doc"), F.col("toxic").alias("__toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    model = fit_toxicity(docs.join(labels, F.col("doc_id") == F.col("__doc")).select("text", "__toxic"), label="__toxic")
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    model = fit_toxicity(docs, labels)
     return score_toxicity(_whole(docs), model).where("NOT toxic").select("__row.*")
 
 

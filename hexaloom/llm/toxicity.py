@@ -36,6 +36,12 @@ def word_features(word: bytes) -> list[str]:
     return ["=" + w[:40], *(w[:k] for k in _BEGINNINGS if len(w) > k)]
 
 
+def _feature(word: bytes, k: int) -> str | None:
+    """The feature of one length: 0 for the word itself."""
+    w = word.decode("utf-8", "replace")
+    return "=" + w[:40] if not k else w[:k] if len(w) > k else None
+
+
 @dataclass
 class Field:
     """A fitted model: weights of features, of the toxic label, of transitions (from, to), and of the score's inputs."""
@@ -101,7 +107,7 @@ class _Emissions(dict):
 
     def __missing__(self, word: bytes) -> float:
         value = float(sum(self.weights.get(f, 0.0) for f in word_features(word)))
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value
@@ -128,42 +134,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _fit_chain(texts: list[tuple[list[bytes], bool]], epochs: int = 120) -> Field:
     """Label the words of labelled documents, and fit the field to windows around words with features."""
-    met = [Counter(), Counter()]
-    n = [0, 0]
-    features: dict[bytes, list[str]] = {}
-    for text, toxic in texts:
-        n[toxic] += 1
-        here: set[str] = set()
-        for w in set(text):
-            if w not in features:
-                features[w] = word_features(w)
-            here.update(features[w])
-        met[toxic].update(here)
+    n = [sum(not y for _, y in texts), sum(y for _, y in texts)]
     if not n[0] or not n[1]:
         return Field()
-    kept: dict[str, float] = {}
+    # one length of beginnings at a time, so that rare ones, which are most, are never held together
     enough = max(4, n[1] / 150)
+    often: dict[str, int] = {}
+    for k in (0, *_BEGINNINGS):
+        met: Counter[str] = Counter()
+        for text, toxic in texts:
+            if toxic:
+                met.update({f for w in set(text) if (f := _feature(w, k))})
+        often.update((f, c) for f, c in met.items() if c >= enough)
     # copies of one text prove nothing: a feature has to follow as many different words, too
-    contexts: dict[str, set[bytes]] = {f: set() for f, c1 in met[1].items() if c1 >= enough}
+    contexts: dict[str, set[bytes]] = {f: set() for f in often}
+    elsewhere: Counter[str] = Counter()
     for text, toxic in texts:
-        for past, w in zip([b"", *text], text) if toxic else ():
-            for f in features[w]:
-                if f in contexts:
-                    contexts[f].add(past)
-    for f, pasts in contexts.items():
-        c1, c0 = met[1][f], met[0][f]
-        if len(pasts) >= enough:
+        if toxic:
+            for past, w in zip([b"", *text], text):
+                for f in word_features(w):
+                    if f in contexts and len(contexts[f]) < enough:
+                        contexts[f].add(past)
+        else:
+            elsewhere.update({f for w in set(text) for f in word_features(w) if f in often})
+    kept: dict[str, float] = {}
+    for f, c1 in often.items():
+        c0 = elsewhere[f]
+        if len(contexts[f]) >= enough:
             apart = math.log((c1 + 0.5) / (n[1] + 1)) - math.log((c0 + 0.5) / (n[0] + 1))
             if apart >= 1:
                 kept[f] = apart - math.sqrt(1 / c1 + 1 / (c0 + 1))  # what is sure of it
     number = {f: k for k, f in enumerate(kept)}
-    own = {w: [number[f] for f in fs if f in number] for w, fs in features.items()}
-    told = {w: max(kept[f] for f in features[w] if f in kept) >= 2 for w, ks in own.items() if ks}
+    own: dict[bytes, list[int]] = {}
+    told: dict[bytes, bool] = {}
+    for w in {w for text, _ in texts for w in text}:
+        if mine := [f for f in word_features(w) if f in number]:
+            own[w] = [number[f] for f in mine]
+            told[w] = max(kept[f] for f in mine) >= 2
     windows, labels = [], []
     for text, toxic in texts:
         next_free = 0
         for i, w in enumerate(text):
-            if own[w] and i >= next_free:
+            if w in own and i >= next_free:
                 a = max(0, min(i - _WINDOW // 2, len(text) - _WINDOW))
                 windows.append(text[a : a + _WINDOW])
                 labels.append([toxic and told.get(x, False) for x in windows[-1]])
@@ -179,7 +191,7 @@ def _fit_chain(texts: list[tuple[list[bytes], bool]], epochs: int = 120) -> Fiel
         y[r, : len(ls)] = ls
         there[r, : len(ls)] = True
         for c, w in enumerate(ws):
-            for k in own[w]:
+            for k in own.get(w, ()):
                 rows.append(r * _WINDOW + c)
                 feats.append(k)
     rows, feats = np.array(rows, np.int64), np.array(feats, np.int64)
@@ -232,25 +244,30 @@ def _expected(emit: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[n
     return p, passes
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "text", label: str = "toxic", rows: int = 6000, text_bytes: int = 32 << 10) -> Field:
-    """Fit on a sample of at most `rows` labelled rows (a third toxic, as far as there are any), none of them longer than text_bytes.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = 3000, text_bytes: int = 32 << 10) -> Field:
+    """Fit on a sample of about `rows` labelled rows (a third toxic, as far as there are any), none longer than text_bytes.
 
-    Rows without text or label are left out. Which rows are drawn depends on the hash of their texts alone. The base rate
-    is counted over all labelled rows. Without rows of both labels the score is the same low one for all texts.
+    labels (doc_id, label) says 1 for toxic; rows without id, text or label are left out. Which rows are drawn depends on
+    the hashes of their ids alone, so the sample is found among the ids, and only its texts are fetched. The base rate is
+    counted over all labels. Without rows of both labels the score is the same low one for all texts.
     """
-    known = labelled.select(col(text).alias("t"), (col(label) == 1).alias("y")).where("t IS NOT NULL AND y IS NOT NULL")
+    known = labels.select(col(doc_id).alias("id"), (col(label) == 1).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     count = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return Field()
-    sample = []
-    for toxic, most in ((True, rows // 3), (False, rows - rows // 3)):
-        drawn = known.where((F.col("y") == toxic) & (F.octet_length("t") <= text_bytes)).orderBy(F.xxhash64("t"), "t").limit(most).collect()
-        sample += [(words(r["t"].encode()), toxic, zlib.crc32(r["t"].encode()) % 10 < 3) for r in drawn]
+    share = {True: rows // 3 / count[True], False: (rows - rows // 3) / count[False]}
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "id"), 11) / F.lit(float(1 << 53))
+    drawn = known.where(chance < F.when(F.col("y"), share[True]).otherwise(share[False]))
+    texts = docs.select(col(doc_id).alias("d"), col(text).alias("t")).where((F.octet_length("t") <= text_bytes))
+    found = texts.join(F.broadcast(drawn), F.col("d") == F.col("id")).select("id", "t", "y").collect()  # about `rows` ids, whatever the table
+    same: dict[bytes, bytes] = {}  # one object a word
+    sample = [([same.setdefault(w, w) for w in words(r["t"].encode())], r["y"], zlib.crc32(r["t"].encode()) % 10 < 3) for r in sorted(found, key=lambda r: (str(r["id"]), r["t"]))]
+    del found, same
     model = _fit_chain([(w, y) for w, y, late in sample if not late])
     held = [(w, y) for w, y, late in sample if late] or [(w, y) for w, y, _ in sample]
-    x = np.array([inputs(len(w), model.marginals(w)[1]) for w, _ in held])
+    x = np.array([inputs(len(w), model.marginals(w)[1]) for w, _ in held]).reshape(-1, 6)
     y = np.array([float(t) for _, t in held])
-    drawn_toxic = y.mean()
+    drawn_toxic = y.mean() if len(y) else 0.0
     if drawn_toxic in (0.0, 1.0):
         return model
     base = count[True] / (count[True] + count[False])

@@ -48,7 +48,8 @@ def test_marginals_equal_brute_force():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return fit_toxicity(spark.createDataFrame(corpus(1200, 1), "doc_id long, text string, toxic int"))
+    labelled = spark.createDataFrame(corpus(1200, 1), "doc_id long, text string, toxic int")
+    return fit_toxicity(labelled, labelled)
 
 
 def test_held_out_accuracy_and_spans(spark, model):
@@ -71,5 +72,6 @@ def test_odd_texts_and_tables(spark, model):
     assert got[4].toxic_spans[0][:2] == (2, 8)
     assert score_toxicity(docs.limit(0), model).count() == 0
     for labelled in ([], [(1, "a", 0)], [(1, None, 1), (2, "b", None)]):
-        plain = fit_toxicity(spark.createDataFrame(labelled, "doc_id long, text string, toxic int"))
+        df = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
+        plain = fit_toxicity(df, df)
         assert score_toxicity(docs, plain).where("toxic").count() == 0
