@@ -1,11 +1,12 @@
 """Near-duplicate texts by order min hash, verified by banded alignment.
 
 Texts with the same words are one node. Nodes that agree on an ordered tuple of least k-mers share a
-bucket. Every member is aligned with its bucket's least node; where a bucket then still holds members of
-several components, all its pairs across components are compared: by exact bounds (lengths, word counts)
+bucket, whose least node is its leader. Every node is aligned with the least of its leaders, then with
+those of its other leaders that are in other components still. Where a bucket holds members of several
+components even so, all its pairs across components are compared: by exact bounds (lengths, word counts)
 in blocks of bounded size, and by alignment where the bounds allow the similarity. So a large group of
-like texts costs one alignment a member, and every pair of a bucket is settled: it is in one component,
-or was aligned, or can't reach the similarity.
+like texts costs about one alignment a text, and every pair of a bucket is settled: it is in one
+component, or was aligned, or can't reach the similarity.
 """
 
 from __future__ import annotations
@@ -206,16 +207,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         both = pairs.join(left, F.col("a") == F.col("n_a")).join(right, F.col("b") == F.col("n_b"))
         return materialise(both.withColumn("s", align("t_a", "t_b")).where(F.col("s") >= least).select("a", "b"), name)
 
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, "links")
-    found = components(links)
-
-    def component_of(node: Column, comps: DataFrame, df: DataFrame) -> DataFrame:
-        return df.join(comps.select(F.col("node").alias("c_node"), "component"), node == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", node)).drop("c_node", "component")
+    def component_of(node: Column, comps: DataFrame, df: DataFrame, name: str = "comp") -> DataFrame:
+        return df.join(comps.select(F.col("node").alias("c_node"), "component"), node == F.col("c_node"), "left").withColumn(name, F.coalesce("component", node)).drop("c_node", "component")
 
+    # first each node with the least of its leaders, which settles most of a large group at one alignment a node
+    stars = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    firsts = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(firsts, "links")
+    found = components(links)
+    # then with its other leaders, where these are in other components still
+    open_stars = component_of(F.col("b"), found, component_of(F.col("a"), found, stars, "comp_a"), "comp_b").where("comp_a <> comp_b").select("a", "b")
+    open_stars = materialise(open_stars.join(firsts, ["a", "b"], "left_anti"), "open")
+    more = verified(open_stars, "links")
+    if more.limit(1).count():
+        links = links.union(more)
+        found = components(links)
+    # then whatever of a bucket is in different components
     grouped = component_of(F.col("node"), found, members.select("key", "node"))
-    across = materialise(_across(grouped, texts, least, block).join(stars, ["a", "b"], "left_anti"), "across")
-    more = verified(across, "more")
+    tried = firsts.union(open_stars)
+    across = materialise(_across(grouped, texts, least, block).join(tried, ["a", "b"], "left_anti"), "across")
+    more = verified(across, "links")
     if more.limit(1).count():
         found = components(links.union(more))
 
