@@ -3,8 +3,9 @@
 Texts with the same words are one node. Nodes that agree on an ordered tuple of least k-mers share a
 bucket, whose least node is its leader. Every node is aligned with the least of its leaders, then with
 those of its other leaders that are in other components still. Where a bucket holds members of several
-components even so, all its pairs across components are compared: by exact bounds (lengths, word counts)
-in blocks of bounded size, and by alignment where the bounds allow the similarity. So a large group of
+components even so, its pairs across components are compared: by exact bounds (lengths, word counts) in
+blocks of bounded size, and by alignment where the bounds allow the similarity; first each stray's most
+promising pairs, then all pairs of what is apart still. So a large group of
 like texts costs about one alignment a text, and every pair of a bucket is settled: it is in one
 component, or was aligned, or can't reach the similarity.
 """
@@ -116,8 +117,11 @@ def _aligner(least: float):
     return align
 
 
-def _comparer(least: float):
-    """An Arrow function: members of two blocks of a bucket -> pairs across components that may reach the similarity."""
+def _comparer(least: float, few: int | None):
+    """An Arrow function: members of two blocks of a bucket -> pairs across components that may reach the similarity.
+
+    few: of each stray only its so many most promising pairs in the block.
+    """
     pair = pa.struct([("a", pa.binary()), ("b", pa.binary())])
 
     @F.arrow_udf("array<struct<a: binary, b: binary>>")
@@ -139,8 +143,11 @@ def _comparer(least: float):
                     near &= (block != block[i]) if block.min() != block.max() else (np.arange(len(m)) > i)
                     at = np.flatnonzero(near)
                     if len(at):
-                        apart = bins[at] - bins[i]
-                        at = at[np.maximum(np.where(apart > 0, apart, 0).sum(1), np.where(apart < 0, -apart, 0).sum(1)) <= most[at]]
+                        gap = bins[at] - bins[i]
+                        apart = np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1))
+                        at, apart = at[apart <= most[at]], apart[apart <= most[at]]
+                        if few is not None:
+                            at = at[np.argsort(apart / longer[at], kind="stable")[:few]] if block[i] >= 0 else at[:0]
                     for j in at:
                         a, b = sorted((m[i]["node"], m[j]["node"]))
                         if (a, b) not in seen:
@@ -152,7 +159,7 @@ def _comparer(least: float):
     return compare
 
 
-def _across(members: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+def _across(members: DataFrame, texts: DataFrame, least: float, block: int, few: int | None = None) -> DataFrame:
     """Pairs (a, b) of buckets' members (key, node, comp) in different components that exact bounds don't rule out.
 
     A bucket's largest component is its home, the rest are strays; home members are compared with strays, and strays with each other.
@@ -174,7 +181,7 @@ def _across(members: DataFrame, texts: DataFrame, least: float, block: int) -> D
     each = stray.select("key", "own", F.explode(span(F.col("ns"))).alias("k"), member(F.col("own")).alias("m"))
     to_stray = each.select("key", F.lit(1).alias("kind"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "m")
     groups = home.unionByName(to_home).unionByName(to_stray).groupBy("key", "kind", "i", "j").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
-    return groups.select(F.explode(_comparer(least)("ms")).alias("p")).select("p.a", "p.b").distinct()
+    return groups.select(F.explode(_comparer(least, few)("ms")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, k: int = 5, sketches: int = 32, take: int = 2, block: int = 256) -> DataFrame:
@@ -222,13 +229,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if more.limit(1).count():
         links = links.union(more)
         found = components(links)
-    # then whatever of a bucket is in different components
-    grouped = component_of(F.col("node"), found, members.select("key", "node"))
+    # then whatever of a bucket is in different components: first each stray's most promising pairs, as one link settles
+    # a stray; then all pairs of those that no such link has settled
     tried = firsts.union(open_stars)
-    across = materialise(_across(grouped, texts, least, block).join(tried, ["a", "b"], "left_anti"), "across")
-    more = verified(across, "links")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    for few in (2, None):
+        grouped = component_of(F.col("node"), found, members.select("key", "node"))
+        across = materialise(_across(grouped, texts, least, block, few).join(tried, ["a", "b"], "left_anti"), "across")
+        more = verified(across, "links")
+        tried = tried.union(across)
+        if more.limit(1).count():
+            links = links.union(more)
+            found = components(links)
 
     rows = component_of(F.col("node"), found, sk.select("id", "node", "n_words"))
     best = rows.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best"))
