@@ -55,7 +55,7 @@ class _Pieces(dict):
 class Encoder:
     """Ids of whole texts as little-endian bytes of 4-byte numbers. Memory holds at most about `limit` pieces."""
 
-    def __init__(self, path: str, kind: str | None, limit: int = 1_000_000):
+    def __init__(self, path: str, kind: str | None, limit: int = 600_000):
         if kind not in (*KINDS, None):
             raise ValueError(f"kind is one of {KINDS} or None")
         self.tokenizer = Tokenizer.from_file(path)
