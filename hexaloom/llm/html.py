@@ -13,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,15 @@ _SAYS = re.compile(
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?:$|[\s_-])", re.I)
 
 
+#: A comment, a tag with whole quotes, a tag with a quote that never ends, or another declaration.
+_TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""", re.S)
+#: Elements whose content has no tags, with what ends them.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_P_STOPS = frozenset(("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "table", "button", "aside", "nav", "header", "footer", "form"))
+_STRAY_STOPS = frozenset(("article", "main", "body", "table", "td"))
+
+
 class Node:
     __slots__ = ("attrs", "children", "parent", "tag")
 
@@ -47,96 +57,113 @@ class Node:
         self.children: list[Node | str] = []
 
 
-class _Builder(HTMLParser):
-    """A tree from any html; open elements end where browsers end them, as far as text is concerned."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("")
-
-    def handle_starttag(self, tag, attrs):
+@lru_cache(10_000)
+def _said(attrs: str) -> str:
+    """Words of class, id and role, and "hidden" if it is."""
+    found = [(k.lower(), unescape(x or y or z)) for k, x, y, z in _ATTRIBUTE.findall(attrs)]
+    words = [v for k, v in found if k in ("class", "id", "role") and v]
+    if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none", v, re.I)) for k, v in found):
+        words.append("hidden")
+    return " ".join(words)
+
+
+def _end_open(at: Node, tags, stop) -> Node:
+    """Where one is after open elements of these tags have ended, as far as they are open inside of stop."""
+    node = at
+    while node.parent is not None and node.tag not in stop:
+        if node.tag in tags:
+            at = node.parent
+        node = node.parent
+    return at
+
+
+def parse_nodes(html: str | None) -> list[Node]:
+    """The tree of any html as its nodes in page order, root first; open elements end where browsers end them, as far as text is concerned."""
+    root = at = Node("")
+    nodes, pos = [root], 0
+    html = html or ""
+    while True:
+        m = _TOKEN.search(html, pos)
+        data = html[pos : m.start()] if m else html[pos:]
+        if data:
+            at.children.append(unescape(data) if "&" in data else data)
+        if m is None:
+            return nodes
+        pos = m.end()
+        end, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if end:
+            node = at
+            while node is not None and node.tag != tag:
+                if node.tag in _STRAY_STOPS and tag not in BLOCKS:
+                    node = None  # a stray end of an inline element ends no block
+                    break
+                node = node.parent
+            if node is not None and node.parent is not None:
+                at = node.parent
+            continue
         if tag in _ENDS_P:
-            self._end_open(("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "table", "button", "aside", "nav", "header", "footer", "form"))
+            at = _end_open(at, ("p",), _P_STOPS)
         if tag in _ENDS:
             own, stop = _ENDS[tag]
-            self._end_open(tuple(own.split()), stop)
-        said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        if any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v, re.I)) for k, v in attrs):
-            said += " hidden"
-        node = Node(tag, said, self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.at.tag == tag and tag not in VOID and tag in ("svg", "path", "use"):
-            self.at = self.at.parent or self.root
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            if node.tag in ("article", "main", "body", "table", "td") and tag not in BLOCKS:
-                return  # a stray end of an inline element ends no block
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-    def _end_open(self, tags, stop):
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                self.at = node.parent
-            node = node.parent
+            at = _end_open(at, own.split(), stop)
+        node = Node(tag, _said(attrs) if attrs and not attrs.isspace() else "", at)
+        at.children.append(node)
+        nodes.append(node)
+        if tag in _RAW:
+            close = _RAW[tag].search(html, pos)
+            content = html[pos : close.start()] if close else html[pos:]
+            node.children.append(unescape(content) if tag in ("textarea", "title") else content)
+            pos = html.find(">", close.end()) + 1 if close else len(html)
+            if close and not pos:
+                pos = len(html)
+        elif tag not in VOID:
+            at = node
 
 
 def parse(html: str | None) -> Node:
-    builder = _Builder()
-    if html:
-        builder.feed(html)
-        builder.close()
-    return builder.root
+    return parse_nodes(html)[0]
 
 
 def kind(node: Node) -> str:
     """What makes elements of different pages one node: tag and class words without digits."""
-    words = sorted({w for w in node.attrs.lower().split() if not any(c.isdigit() for c in w)})
-    return ".".join([node.tag, *words])
+    return _kind(node.tag, node.attrs) if node.attrs else node.tag
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+@lru_cache(10_000)
+def _kind(tag: str, attrs: str) -> str:
+    return ".".join([tag, *sorted({w for w in attrs.lower().split() if not any(c.isdigit() for c in w)})])
 
 
-def _text(node: Node, out: list[str]) -> None:
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            stack.extend(reversed(x.children))
+@lru_cache(100_000)
+def _digest(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def style_nodes(html: str | None) -> list[tuple[int, int, int]]:
     """(path, presentation, content) of the page's part in its host's tree: one entry a path, presentations and contents of its elements joined."""
-    found: dict[str, tuple[list[str], list[str]]] = {}
-    stack = [("", parse(html))]
-    while stack:
-        path, node = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node) and child.tag in BLOCKS:
-                below = f"{path}/{kind(child)}"
-                shape, text = found.setdefault(below, ([], []))
-                shape.append(" ".join(kind(c) for c in child.children if isinstance(c, Node)))
-                _text(child, text)
-                stack.append((below, child))
-            elif isinstance(child, Node):
-                stack.append((path, child))
-    return [(_digest(p), _digest("\n".join(s)), _digest(" ".join(" ".join(t).split()))) for p, (s, t) in found.items()]
+    nodes = parse_nodes(html)
+    content: dict[int, bytes] = {}
+    for node in reversed(nodes):  # children come after their parents, so theirs are known
+        h = hashlib.blake2b(digest_size=8)
+        for c in node.children:
+            h.update(" ".join(c.split()).encode("utf-8", "replace") + b" " if isinstance(c, str) else content[id(c)])
+        content[id(node)] = h.digest()
+    found: dict[str, tuple[list[str], list[bytes]]] = {}
+    paths = {id(nodes[0]): ""}
+    for node in nodes[1:]:
+        above = paths[id(node.parent)]
+        if node.tag not in BLOCKS:
+            paths[id(node)] = above
+            continue
+        path = paths[id(node)] = f"{above}/{kind(node)}"
+        shapes, texts = found.setdefault(path, ([], []))
+        shapes.append(" ".join([kind(c) for c in node.children if not isinstance(c, str)]))
+        texts.append(content[id(node)])
+    short = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+    return [(_digest(p), short("\n".join(s).encode()), short(b"".join(t))) for p, (s, t) in found.items()]
 
 
 class _Blocks:
@@ -172,7 +199,7 @@ def main_text(html: str | None, dull: frozenset[int] | set[int] = frozenset()) -
 def _never(node: Node, inside: bool) -> bool:
     if node.tag in NEVER or (not inside and (node.tag == "header" or (node.tag == "div" and "header" in node.attrs.lower().split()))):
         return True
-    return bool(node.attrs) and node.tag not in ("body", "html") and (" hidden" in f" {node.attrs}" or (_SAYS.search(node.attrs) is not None and not (_MAIN.search(node.attrs) and node.tag in ("article", "main"))))
+    return bool(node.attrs) and node.tag not in ("body", "html") and ("hidden" in node.attrs.split() or (_SAYS.search(node.attrs) is not None and not (_MAIN.search(node.attrs) and node.tag in ("article", "main"))))
 
 
 def _tops(root: Node) -> list[tuple[str, Node, bool]]:
@@ -245,6 +272,7 @@ def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html", min_
     """
     parsed = F.arrow_udf(_style_batches, "array<struct<path: bigint, shape: bigint, text: bigint>>")
     nodes = pages.select(_host(col(url)).alias("host"), F.explode(parsed(col(html))).alias("n")).select("host", "n.*")
+    nodes = materialise(nodes, "nodes")  # three measures from one reading of the pages
     # one shuffle a measure, each a sum of counts, so hot hosts and paths are summed where they are read
     pages_with = nodes.groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages)
 

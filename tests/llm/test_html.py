@@ -16,6 +16,16 @@ def test_main_text_of_one_page():
     assert main_text("<p>" * 5000 + "deep") == "deep" and main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_odd_markup():
+    cases = {
+        "<!-->x<p>y": "x\ny", "<a title=\"z>q</a>r": "qr", "a < b <": "a < b <", "<p class='nav'>n<p>m": "m", "<script>if(a<b)</scriptx>1</script >t": "t", "<title>&amp;<b></title>u": "u", "<!-- a --!>v": "v",
+        "<p/>w": "w", "</p>x": "x", "<textarea><p>no</textarea>yes": "yes", "<DIV CLASS=ad>n</DIV>o": "o", "<?x?>z": "z", "<script>never ends": "", "<p hidden>n</p><p class='hidden-xs'>y": "y", "<!-- never ends": "",
+        "<i>a</i><i>b</i> <i>c": "ab c", "a&nbsp;&#x41;&lt;p&gt;": "a A<p>", "<ol><li>1<ol><li>2</ol><li>3</ol>": "1\n2\n3", "<p style='color:red;display: none'>n</p>y": "y",
+    }
+    for page, text in cases.items():
+        assert main_text(page) == text, page
+
+
 def test_branches_alike_on_a_host_go(spark):
     rng = random.Random(1)
     rows = []
