@@ -2,8 +2,13 @@
 
 Each pass gives every vector a key of concatenated random hashes (signs of random projections), orders
 the vectors of a label by it, and compares each with a window of its neighbours in that order by exact
-cosine. Pairs of all passes are united. Ranks are exact and global, so the windows don't depend on how
-the rows are partitioned; a hot label is many spans of ranks like any other.
+cosine. Pairs of all passes are united to components. Ranks are exact and global, so the windows don't
+depend on how the rows are partitioned; a hot label is many spans of ranks like any other.
+
+Links are then counted within components, where windows would miss some of a large one's. Vectors within
+half the angle of a component's first vector (its core) are linked with each other, as angles add up; only
+the others (its fringe) are compared with all the rest, in blocks. So a large group of close vectors costs
+one comparison a vector.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .state import col, materialise
@@ -57,11 +63,6 @@ def _keyed(passes: int, seed: int):
     return keyed
 
 
-def _pairs(own: np.ndarray, seen: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i in own, j in seen) whose cosine is at least `least`."""
-    return np.nonzero(own @ seen.T >= least)
-
-
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least place that each of n places reaches by the pairs (a, b)."""
     root = np.arange(n)
@@ -76,12 +77,74 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+@F.arrow_udf(T.DoubleType())
+def _cosine(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for left, right in batches:
+        yield pa.array([float(np.frombuffer(a, np.float64) @ np.frombuffer(b, np.float64)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+
+
+def _counter(least: float):
+    """An Arrow function: members of two blocks (or of one) -> for each, how many vectors of the other block it is linked with."""
+    out_type = pa.list_(pa.struct([("uid", pa.int64()), ("linked", pa.int64())]))
+
+    @F.arrow_udf("array<struct<uid: bigint, linked: bigint>>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for groups in batches:
+            out = []
+            for members in groups:
+                m = members.as_py()
+                uid, times, block = (np.array([x[k] for x in m]) for k in ("uid", "times", "block"))
+                units = np.stack([np.frombuffer(x["unit"], np.float64) for x in m])
+                first = block == block[0]
+                linked = np.zeros(len(m), np.int64)
+                if first.all():
+                    near = units @ units.T >= least
+                    np.fill_diagonal(near, False)
+                    linked += near @ times
+                else:
+                    near = units[first] @ units[~first].T >= least
+                    linked[first] += near @ times[~first]
+                    linked[~first] += near.T @ times[first]
+                out.append([{"uid": int(u), "linked": int(n)} for u, n in zip(uid, linked, strict=True) if n])
+            yield pa.array(out, out_type)
+
+    return count
+
+
+def _counted(members: DataFrame, least: float, block: int) -> DataFrame:
+    """(uid, comp, linked): how many vectors of other nodes each node (uid, times, unit, comp) is linked with."""
+    anchors = members.where("uid = comp").select(F.col("comp").alias("c"), F.col("unit").alias("anchor"))
+    half = float(np.cos(np.arccos(least) / 2)) + 1e-9
+    sided = members.join(anchors, F.col("comp") == F.col("c")).select("uid", "times", "unit", "comp", (_cosine("unit", "anchor") >= half).alias("core"))
+    sided = materialise(sided, "sides")
+    sizes = sided.groupBy("comp").agg(F.sum(F.when(F.col("core"), F.col("times"))).alias("weight"), F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_fringe"))
+    sizes = sizes.select(F.col("comp").alias("c"), "weight", F.ceil(F.col("n_core") / block).cast("int").alias("nh"), F.ceil(F.col("n_fringe") / block).cast("int").alias("ns"))
+
+    rows = sided.join(sizes.where("ns > 0"), F.col("comp") == F.col("c"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), F.when(F.col("core"), F.col("nh")).otherwise(F.col("ns"))).cast("int"))
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    member = lambda b: F.struct("uid", "times", "unit", b.alias("block"))
+    # a group is (component, kind, i, j): core block i and fringe block j, or fringe blocks i <= j
+    core = rows.where("core").select("comp", F.lit(0).alias("kind"), F.col("own").alias("i"), F.explode(span(F.col("ns"))).alias("j"), member(F.lit(-1)).alias("m"))
+    fringe = rows.where("NOT core")
+    to_core = fringe.select("comp", F.lit(0).alias("kind"), F.explode(span(F.col("nh"))).alias("i"), F.col("own").alias("j"), member(F.col("own")).alias("m"))
+    each = fringe.select("comp", "own", F.explode(span(F.col("ns"))).alias("k"), member(F.col("own")).alias("m"))
+    to_fringe = each.select("comp", F.lit(1).alias("kind"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "m")
+    groups = core.unionByName(to_core).unionByName(to_fringe).groupBy("comp", "kind", "i", "j").agg(F.collect_list("m").alias("ms"))
+    # a group of one block alone counts only among fringe
+    groups = groups.where((F.col("kind") == 1) | (F.size(F.array_distinct(F.transform("ms", lambda m: m.block))) > 1))
+    groups = groups.where((F.col("kind") == 0) | (F.col("i") == F.col("j")) | (F.size(F.array_distinct(F.transform("ms", lambda m: m.block))) > 1))
+    beside = groups.select(F.explode(_counter(least)("ms")).alias("l")).groupBy(F.col("l.uid").alias("u")).agg(F.sum("l.linked").alias("beside"))
+    full = sided.join(sizes.select("c", "weight"), F.col("comp") == F.col("c")).join(beside, F.col("uid") == F.col("u"), "left")
+    return full.select("uid", "comp", (F.when(F.col("core"), F.col("weight") - F.col("times")).otherwise(F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("linked"))
+
+
 def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, passes: int = 12, window: int = 1024, span: int = 4096, seed: int = 1) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension are linked when their cosine in double precision is at least
-    `least` and they stand within about `window` places of each other in one of the passes. Equal vectors are one node
-    and always linked to each other. n_links counts the other vectors linked directly, component_id is the least vec_id
+    `least`. Components are what is connected by links between vectors within about `window` places of each other in one
+    of the passes; all links within a component count. Equal vectors are one node and always linked to each other. n_links counts the other vectors linked directly, component_id is the least vec_id
     reachable, kept is vec_id = component_id. A vector that is null, empty, zero, or holds a null or non-finite
     component, and one without label, is linked with nothing: 0, its own id, true. Null ids are never least; repeated
     rows count as vectors of their own. Other columns aren't read. An empty table gives no rows.
@@ -119,46 +182,38 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     spans = ranked.select(*group, "uid", "rank", F.floor(F.col("rank") / span).alias("at"))
     late = F.col("rank") % span >= span - window
     spans = spans.select(*group, "uid", "rank", F.explode(F.when(late, F.array("at", F.col("at") + 1)).otherwise(F.array("at"))).alias("span"))
-    held = spans.join(nodes.select("uid", "times", "unit"), "uid")
+    held = spans.join(nodes.select("uid", "unit"), "uid")
     keys = [*group, "span"]
-    dealt = held.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "rank").select(*keys, "rank", "uid", "times", "unit")
+    dealt = held.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "rank").select(*keys, "rank", "uid", "unit")
     block = max(1, window // 2)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids: np.ndarray, times: np.ndarray, old: int, vectors: np.ndarray) -> pa.RecordBatch | None:
-            """Links between the places from old on and all places before or among them."""
-            i, j = _pairs(vectors[old:], vectors, least)
+        def found(ids: np.ndarray, old: int, vectors: np.ndarray) -> pa.RecordBatch | None:
+            """A forest of the links between the places from old on and all places before or among them."""
+            i, j = np.nonzero(vectors[old:] @ vectors.T >= least)
             i = i + old
-            first = j < i
-            i, j = i[first], j[first]
-            if not len(i):
-                return None
+            i, j = i[j < i], j[j < i]
             root = _roots(len(ids), i, j)
-            a, b = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            who, begin = np.unique(a, return_index=True)
-            links = pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids[b]), pa.array(times[b])], ["uid", "times"]))
-            return pa.RecordBatch.from_arrays([pa.array(ids[who]), links, pa.array(ids[root[who]])], names=["uid", "links", "root"])
+            at = np.flatnonzero(root != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"]) if len(at) else None
 
-        current, ids, times, units, fresh = None, [], [], [], 0
+        current, ids, units, fresh = None, [], [], 0
 
         def flush() -> pa.RecordBatch | None:
-            nonlocal ids, times, units, fresh
-            out = found(np.array(ids, np.int64), np.array(times, np.int64), len(ids) - fresh, np.array(units)) if fresh else None
+            nonlocal ids, units, fresh
+            out = found(np.array(ids, np.int64), len(ids) - fresh, np.array(units)) if fresh else None
             keep = 2 * block
-            ids, times, units, fresh = ids[-keep:], times[-keep:], units[-keep:], 0
+            ids, units, fresh = ids[-keep:], units[-keep:], 0
             return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*keys, "rank", "uid", "times", "unit")]
-            for *g, rank, uid, n, u in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in (*keys, "rank", "uid", "unit")]
+            for *g, rank, uid, u in zip(*columns, strict=True):
                 if g != current:
                     if (out := flush()) is not None:
                         yield out
-                    current, ids, times, units = g, [], [], []
+                    current, ids, units = g, [], []
                 ids.append(uid)
-                times.append(n)
                 units.append(np.frombuffer(u, np.float64))
                 if rank // span == g[3]:  # else it is the window before the span, compared in the span before
                     fresh += 1
@@ -168,14 +223,11 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         if (out := flush()) is not None:
             yield out
 
-    found = dealt.mapInArrow(compare, "uid long, links array<struct<uid: long, times: long>>, root long")
-    found = materialise(found, "links")
-    linked = found.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    linked = linked.select(F.col("uid").alias("l_uid"), F.aggregate("links", F.lit(0).cast("long"), lambda s, x: s + x["times"]).alias("linked"))
-    reach = components(found.where("root <> uid").select(F.col("uid").alias("a"), F.col("root").alias("b")))
-    reach = reach.select(F.col("node").alias("r_uid"), "component")
-    known = nodes.select("node", "uid", "times").join(linked, F.col("uid") == F.col("l_uid"), "left").join(reach, F.col("uid") == F.col("r_uid"), "left")
-    known = known.select(F.col("node").alias("n"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "uid").alias("comp"))
+    reach = components(dealt.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
+    members = nodes.select("uid", "times", "unit").join(reach, F.col("uid") == F.col("r_uid"))
+    linked = _counted(members, least, block).withColumnRenamed("uid", "l_uid")
+    known = nodes.select("node", "uid", "times").join(linked, F.col("uid") == F.col("l_uid"), "left")
+    known = known.select(F.col("node").alias("n"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("comp", "uid").alias("comp"))
     placed = materialise(rows.select("id", "node").join(known, F.col("node") == F.col("n"), "left").select("id", "comp", "n_links"), "placed")
     least_id = placed.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min("id").alias("least_id"))
     component_id = F.coalesce("least_id", "id")

@@ -39,3 +39,16 @@ def test_empty_and_null_ids(spark):
     rows = embedding_links(df).collect()
     assert sorted(r.n_links for r in rows) == [2, 2, 2] and {r.component_id for r in rows} == {4}
     assert embedding_links(df.limit(0)).count() == 0
+
+
+def test_wide_components(spark):
+    """Points all over a sphere: chains of links, so that most of a component lies beyond half the angle of its first vector."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(3).tolist(), 0) for i in range(150)]
+    rows += [(150 + i, rows[i][1], 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n_links, comp = brute(rows)
+    for window in (1024, 20):  # one block, or many
+        got = {r.vec_id: r for r in embedding_links(df, window=window, span=64, passes=16).collect()}
+        assert [got[i].component_id for i in range(170)] == comp
+        assert [got[i].n_links for i in range(170)] == n_links
