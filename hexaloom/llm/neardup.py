@@ -1,7 +1,9 @@
 """Near-duplicate texts by order min hash, verified by banded alignment.
 
 Texts with the same words are one node. Nodes that agree on an ordered tuple of least k-mers share a
-bucket, whose least node is its leader. Every node is aligned with the least of its leaders, then with
+bucket, whose least node is its leader. Edits break whole k-mers, so short texts get keys of pairs of words
+as well, and the shortest (two edits at most) those of all they can become by leaving out words, which finds
+every pair of them. Every node is aligned with the least of its leaders, then with
 those of its other leaders that are in other components still. Where a bucket holds members of several
 components even so, its pairs across components are compared: by exact bounds (lengths, word counts) in
 blocks of bounded size, and by alignment where the bounds allow the similarity; first each stray's most
@@ -14,33 +16,37 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .alignment import similarity
 from .components import components
-from .shingles import kmers, mix, order_min_hash, word_hashes
+from .shingles import _ODD, kmers, mix, order_min_hash, word_hashes
 from .state import col, materialise
 from .words import as_bytes, words
 
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 _BINS = 128
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[list[bytes | None], np.ndarray, np.ndarray]]:
     """The batch's texts in runs of about _CHUNK bytes: texts, their bytes one after another, offsets."""
-    held = as_bytes(texts).to_pylist()
+    held = as_bytes(texts)
+    lengths = [n or 0 for n in pc.binary_length(held).to_pylist()]
     at = 0
     while at < len(held):
         stop, size = at, 0
-        while stop < len(held) and (stop == at or size + len(held[stop] or b"") <= _CHUNK):
-            size += len(held[stop] or b"")
+        while stop < len(held) and (stop == at or size + lengths[stop] <= _CHUNK):
+            size += lengths[stop]
             stop += 1
-        part = held[at:stop]
+        part = held.slice(at, stop - at).to_pylist()
         offsets = np.concatenate([[0], np.cumsum([len(t or b"") for t in part])]).astype(np.int64)
         yield part, np.frombuffer(b"".join(t or b"" for t in part), np.uint8), offsets
         at = stop
@@ -61,19 +67,61 @@ def _nodes(texts: list[bytes | None], hashes: np.ndarray, first: np.ndarray) ->
     return out
 
 
-def _sketcher(k: int, sketches: int, take: int):
+@lru_cache(maxsize=256)
+def _left(n: int, out: int) -> np.ndarray:
+    """All ways to leave out `out` of n places: a row each, of the places that stay."""
+    return np.array(list(combinations(range(n), n - out)), np.int64).reshape(-1, n - out)
+
+
+def _shortened(hashes: np.ndarray, first: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the texts that may differ by two edits at most, and keys of what they are with so many words or fewer left out."""
+    n = np.diff(first)
+    most = ((1 - least) * n + 1e-9).astype(int)
+    for size in np.unique(n[(n > 0) & (most <= 2)]):
+        at = np.flatnonzero(n == size)
+        words_of = hashes[first[:-1][at][:, None] + np.arange(size)]
+        for out in range(min(int(most[at[0]]), size - 1) + 1):
+            kept = _left(int(size), out)
+            h = np.full((len(at), len(kept)), kept.shape[1], np.uint64)
+            for j in range(kept.shape[1]):
+                h = mix(h * _ODD + words_of[:, kept[:, j]])
+            yield np.repeat(at, len(kept)), h.ravel()
+
+
+def _keys(hashes: np.ndarray, first: np.ndarray, k: int, sketches: int, take: int, least: float, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a chunk's texts one after another, and where each text's begin.
+
+    Texts of up to short / least words have keys of word pairs, those of more than short words keys of k words: two texts
+    that can be similar have either the first or the second both.
+    """
+    n = np.diff(first)
+    at, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for held, size, many in ((n > short, k, sketches), ((n > 0) & (n <= short / least), min(k, 2), -(-sketches // 2))):
+        texts = np.flatnonzero(held)
+        labelled, begin = kmers(hashes[np.repeat(held, n)], np.concatenate([[0], np.cumsum(n[texts])]), size)
+        at.append(np.repeat(texts, many))
+        found.append(order_min_hash(labelled, begin, many, take, size).ravel())
+    for texts, keys in _shortened(hashes, first, least):
+        at.append(texts)
+        found.append(keys)
+    places = np.concatenate(at)
+    return np.concatenate(found)[np.argsort(places, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(n)))])
+
+
+def _sketcher(k: int, sketches: int, take: int, least: float, short: int):
     @F.arrow_udf("struct<node: binary, n_words: int, keys: array<bigint>>")
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            nodes, counts, keys = [], [], []
+            nodes, counts, keys, sizes = [], [], [], [np.zeros(1, np.int64)]
             for part, data, offsets in _chunks(texts):
                 hashes, first = word_hashes(data, offsets)
-                labelled, begin = kmers(hashes, first, k)
                 nodes += _nodes(part, hashes, first)
                 counts.append(np.diff(first))
-                keys.append(order_min_hash(labelled, begin, sketches, take))
-            flat = np.concatenate(keys).astype(np.int64).ravel() if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * sketches), pa.array(flat))
+                found, begin = _keys(hashes, first, k, sketches, take, least, short)
+                keys.append(found)
+                sizes.append(np.diff(begin))
+            flat = np.concatenate(keys).astype(np.int64) if keys else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(flat))
             yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts) if counts else [], pa.int32()), lists], ["node", "n_words", "keys"])
 
     return sketch
@@ -108,10 +156,11 @@ def _aligner(least: float):
         known: tuple[bytes, list] = (b"", [])
         for left, right in batches:
             out = []
-            for a, b in zip(as_bytes(left).to_pylist(), as_bytes(right).to_pylist(), strict=True):
-                if known[0] != a:
-                    known = (a, words(a))
-                out.append(similarity(known[1], words(b), least))
+            for at in range(0, len(left), 256):  # few texts at a time as Python's bytes
+                for a, b in zip(as_bytes(left.slice(at, 256)).to_pylist(), as_bytes(right.slice(at, 256)).to_pylist(), strict=True):
+                    if known[0] != a:
+                        known = (a, words(a))
+                    out.append(similarity(known[1], words(b), least))
             yield pa.array(out, pa.float64())
 
     return align
@@ -184,18 +233,20 @@ def _across(members: DataFrame, texts: DataFrame, least: float, block: int, few:
     return groups.select(F.explode(_comparer(least, few)("ms")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, k: int = 5, sketches: int = 32, take: int = 2, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, k: int = 3, sketches: int = 64, take: int = 2, block: int = 256, short: int = 40) -> DataFrame:
     """One row per document: doc_id, class_id, kept, node, n_words.
 
     Texts are near-duplicates when 1 - (word edits between them) / (words of the longer) is at least `least`; classes are
-    what is connected by such pairs, among those that share one of `sketches` keys of `take` ordered least k-mers.
+    what is connected by such pairs, among those that share one of `sketches` keys of `take` ordered least k-mers; texts of
+    up to `short` words have half as many keys of word pairs instead, and pairs that two edits at most set apart, where
+    `least` allows no more, always share one.
     class_id is the least doc_id of the class; kept marks the rows that have it and the words of one text of the class.
     Words as in words.py, so case and marks don't matter. Wordless texts are duplicates when equal byte by byte; null
     texts are duplicates of nothing (class_id is their own id, kept is true). Rows equal in id and words are alike in
     all columns (drop_near_duplicates keeps one of them); null ids come last in their class, and a class of null ids
     alone has class_id null. Other columns aren't read. An empty table gives no rows.
     """
-    sketch = _sketcher(k, sketches, take)
+    sketch = _sketcher(k, sketches, take, least, short)
     sk = docs.select(col(doc_id).alias("id"), sketch(col(text)).alias("s")).select("id", "s.node", "s.n_words", F.when(F.col("s.n_words") > 0, F.col("s.keys")).alias("keys"))
     sk = materialise(sk, "sketches")
     entries = sk.select(F.explode("keys").alias("key"), "node")

@@ -111,3 +111,25 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted((r.doc_id is None, r.class_id) for r in rows if r.class_id) == [(False, 5), (False, 5), (True, 5)]
     assert drop_near_duplicates(docs).count() == 3
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_scattered_edits_at_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in [*range(5, 17), 20, 25, 32, 41, 45, 50, 51, 60, 100, 300]:
+        for t in range(6):
+            a = [f"n{n}t{t}w{i}" for i in range(n)]
+            edits = n // 5
+            # spread evenly, the first pair of each length, else anywhere
+            at = [i * n // edits + min(2, n // edits - 1) for i in range(edits)] if not t else rng.sample(range(n), edits)
+            b = [w if i not in at else f"{w}x" for i, w in enumerate(a)]
+            texts += [a, b]
+    # left out only: eight words of ten
+    a = [f"q{i}" for i in range(10)]
+    texts += [a, a[:3] + a[4:7] + a[8:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    short = [i for i in range(0, len(texts), 2) if len(texts[i]) <= 14]
+    assert all(got[i + 1] == i for i in short)
+    found = [got[i + 1] == i for i in range(0, len(texts), 2)]
+    assert sum(found) / len(found) > 0.98
