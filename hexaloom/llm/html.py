@@ -144,7 +144,10 @@ def _digest(path: str) -> int:
 
 def style_nodes(html: str | None) -> list[tuple[int, int, int]]:
     """(path, presentation, content) of the page's part in its host's tree: one entry a path, presentations and contents of its elements joined."""
-    nodes = parse_nodes(html)
+    return _styles(parse_nodes(html))
+
+
+def _styles(nodes: list[Node]) -> list[tuple[int, int, int]]:
     content: dict[int, bytes] = {}
     for node in reversed(nodes):  # children come after their parents, so theirs are known
         h = hashlib.blake2b(digest_size=8)
@@ -186,7 +189,10 @@ def main_text(html: str | None, dull: frozenset[int] | set[int] = frozenset()) -
     The article is the page's article or main elements (the outermost ones; an article inside a comment list isn't
     one), else elements whose class says so, else the body. Headings in an article's own header stay.
     """
-    root = parse(html)
+    return _main_text(parse(html), dull)
+
+
+def _main_text(root: Node, dull: frozenset[int] | set[int] = frozenset()) -> str:
     tops = _tops(root)
     blocks = _Blocks()
     for path, top, chosen in tops or [("", root, False)]:
@@ -251,7 +257,7 @@ def _walk(top: Node, path: str, chosen: bool, dull, blocks: _Blocks) -> None:
             below = path
             if x.tag in BLOCKS:
                 below = f"{path}/{kind(x)}"
-                if _digest(below) in dull:
+                if x.tag not in ("html", "body") and _digest(below) in dull:
                     blocks.cut()
                     continue
                 blocks.cut()
@@ -268,10 +274,15 @@ def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html", min_
 
     A path's importance is the greater of two entropies over the host's pages that have it, each divided by the
     logarithm of their number: of its child sequences and of its texts. Paths on fewer than min_pages pages of a host,
-    and all paths above an important one, are left alone.
+    and all paths above an important one, are left alone. Pages of a host with one main text are copies and count as one
+    page (the one whose tree has the least digest), as what is alike on copies of a page needn't be the site's.
     """
-    parsed = F.arrow_udf(_style_batches, "array<struct<path: bigint, shape: bigint, text: bigint>>")
-    nodes = pages.select(_host(col(url)).alias("host"), F.explode(parsed(col(html))).alias("n")).select("host", "n.*")
+    parsed = F.arrow_udf(_style_batches, "struct<main: binary, page: binary, nodes: array<struct<path: bigint, shape: bigint, text: bigint>>>")
+    read = pages.select(_host(col(url)).alias("host"), parsed(col(html)).alias("p")).select("host", "p.*")
+    read = materialise(read.withColumn("uid", F.monotonically_increasing_id()), "pages")
+    # a hot page's copies are summed where they are read, and found again by numbers of their own
+    once = read.groupBy("host", "main").agg(F.min(F.struct("page", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
+    nodes = read.join(once, "uid", "left_semi").select("host", F.explode("nodes").alias("n")).select("host", "n.*")
     nodes = materialise(nodes, "nodes")  # three measures from one reading of the pages
     # one shuffle a measure, each a sum of counts, so hot hosts and paths are summed where they are read
     pages_with = nodes.groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages)
@@ -289,9 +300,16 @@ def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html", min_
 
 
 def _style_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind_ = pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())]))
+    kind_ = pa.struct([("main", pa.binary()), ("page", pa.binary()), ("nodes", pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())])))])
     for htmls in batches:
-        yield pa.array([[{"path": p, "shape": s, "text": t} for p, s, t in style_nodes(h)] for h in htmls.to_pylist()], kind_)
+        out = []
+        for h in htmls.to_pylist():
+            nodes = parse_nodes(h)
+            styles = _styles(nodes)
+            main = hashlib.blake2b(" ".join(_main_text(nodes[0]).split()).encode("utf-8", "replace"), digest_size=16).digest()
+            page = hashlib.blake2b(repr(styles).encode(), digest_size=16).digest()
+            out.append({"main": main, "page": page, "nodes": [{"path": p, "shape": s, "text": t} for p, s, t in styles]})
+        yield pa.array(out, kind_)
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", **options) -> DataFrame:

@@ -45,3 +45,20 @@ def test_branches_alike_on_a_host_go(spark):
     assert (got[40].text, got[40].n_chars, got[41].text, got[42].text) == ("", 0, "", "Always the same line")
     assert all(got[50 + i].text == "Copy\nof one page" and got[50 + i].n_chars == 16 for i in range(12))
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    around = '<html><body><div class="top">Our site, all rights reserved</div>{}</body></html>'
+    varied = [around.format(f"<article><h1>{say(4)}</h1><p>{say(30)}</p></article>") for _ in range(12)]
+    copy = around.format(f"<article><h1>{say(4)}</h1><p>{say(30)}</p><table><tr><td>cell one</td></tr></table></article>")
+    plain = around.format(f"<h1>title</h1><p>{say(30)}</p>")
+    others = [around.format(f"<h2>{say(3)}</h2><p>{say(30)}</p>") for _ in range(9)]
+    rows = [("http://a.org/x", h) for h in varied + [copy] * 20] + [("http://b.org/x", h) for h in [plain] * 200 + others]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert all("cell one" in got[i] for i in range(12, 32))
+    # a host of copies without article: their text stays, what the site says on all pages goes
+    assert all("title" in got[i] and len(got[i].split()) == 31 for i in range(32, 232))
+    assert all(len(got[i].split()) == 33 for i in range(232, 241))
