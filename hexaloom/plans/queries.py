@@ -278,8 +278,8 @@ def topographic_error(spark, d):
 
 @query()
 def som_train_flagship(spark, d):
-    df = read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(16)])
-    model = SelfOrganizingMap(map_size=(C, R), rough_epochs=10, fine_epochs=10, seed=7).fit(df)
+    df = read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    model = SelfOrganizingMap(map_size=(C, R), seed=7).fit(df)
     return model.results(df)
 
 

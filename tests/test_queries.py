@@ -46,3 +46,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_full_fit_reads_whole_vectors(spark):
+    df = maps.QUERIES["som_train_flagship"](spark, DATA)
+    assert {f"B_f{i}" for i in range(64)} <= set(df.columns)
