@@ -5,6 +5,10 @@ the vectors of a label by it, and compares each with a window of its neighbours
 cosine. Pairs of all passes are united to components. Ranks are exact and global, so the windows don't
 depend on how the rows are partitioned; a hot label is many spans of ranks like any other.
 
+What the windows leave open is closed exactly: labels of more vectors than a window holds are dealt into
+cells about some of their vectors (pivots), and cells are compared in blocks wherever the angle between
+their pivots and their own widest angles allow a link, unless both blocks are in one component already.
+
 Links are then counted within components, where windows would miss some of a large one's. Vectors within
 half the angle of a component's first vector (its core) are linked with each other, as angles add up; only
 the others (its fringe) are compared with all the rest, in blocks. So a large group of close vectors costs
@@ -139,12 +143,83 @@ def _counted(members: DataFrame, least: float, block: int) -> DataFrame:
     return full.select("uid", "comp", (F.when(F.col("core"), F.col("weight") - F.col("times")).otherwise(F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("linked"))
 
 
+def _crosser(least: float):
+    """An Arrow function: members of two blocks (or of one) -> pairs of components that a link between the blocks joins."""
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
+    def cross(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for groups in batches:
+            out = []
+            for members in groups:
+                m = members.as_py()
+                comp, right = (np.array([x[k] for x in m]) for k in ("comp", "right"))
+                units = np.stack([np.frombuffer(x["unit"], np.float64) for x in m])
+                left, right = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(m)), np.arange(len(m)))
+                i, j = np.nonzero((units[left] @ units[right].T >= least) & (comp[left][:, None] != comp[right]))
+                a, b = comp[left[i]], comp[right[j]]
+                joined = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                out.append([{"a": int(x), "b": int(y)} for x, y in joined])
+            yield pa.array(out, pa.list_(pair))
+
+    return cross
+
+
+def _crossing(members: DataFrame, large: DataFrame, least: float, size: int) -> DataFrame:
+    """Pairs (a, b) of components of members (uid, label, dim, unit, comp) that links between them join, in the groups of large (label, dim)."""
+    group = ["label", "dim"]
+    members = members.join(large, group, "left_semi").withColumn("said", F.col("label").cast("string"))
+    pivots: dict[tuple[str, int], np.ndarray] = {}
+    for r in members.where(F.pmod(F.xxhash64("uid"), F.lit(size)) == 0).groupBy("said", "dim").agg(F.sort_array(F.collect_list(F.struct("uid", "unit"))).alias("ps")).collect():
+        pivots[r["said"], r["dim"]] = np.stack([np.frombuffer(x["unit"], np.float64) for x in r["ps"]])
+
+    @F.arrow_udf("struct<cell: int, angle: double>")
+    def place(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for saids, dims, units in batches:
+            rows = []
+            for said, dim, u in zip(saids.to_pylist(), dims.to_pylist(), units.to_pylist(), strict=True):
+                near = pivots[said, dim] @ np.frombuffer(u, np.float64) if (said, dim) in pivots else np.array([-1.0])
+                at = int(near.argmax())
+                rows.append({"cell": at, "angle": float(np.arccos(np.clip(near[at], -1, 1)))})
+            yield pa.array(rows, pa.struct([("cell", pa.int32()), ("angle", pa.float64())]))
+
+    @F.arrow_udf("double")
+    def between(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            yield pa.array([float(np.arccos(np.clip(pivots[g, d][i] @ pivots[g, d][j], -1, 1))) if i != j else 0.0 for g, d, i, j in rows], pa.float64())
+
+    placed = materialise(members.select("uid", "said", "dim", "unit", "comp", place("said", "dim", "unit").alias("p")).select("uid", "said", "dim", "unit", "comp", "p.*"), "cells")
+    keys = ["said", "dim", "cell"]
+    cells = materialise(placed.groupBy(*keys).agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / size).cast("int").alias("nb")), "radii")
+    dealt = placed.join(cells.drop("radius"), keys).select("uid", *keys, "unit", "comp", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("nb")).cast("int").alias("block"))
+    dealt = materialise(dealt, "dealt")
+    blocks = dealt.groupBy(*keys, "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+
+    side = lambda df, x: df.select("said", "dim", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("said", "dim")])
+    near = side(cells.drop("nb"), "a").join(side(cells.drop("nb"), "b"), ["said", "dim"]).where("cell_a <= cell_b")
+    widest = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+    near = near.where(between("said", "dim", "cell_a", "cell_b") - F.col("radius_a") - F.col("radius_b") <= widest).select("said", "dim", "cell_a", "cell_b")
+    pairs = near.join(side(blocks, "a"), ["said", "dim", "cell_a"]).join(side(blocks, "b"), ["said", "dim", "cell_b"]).where("cell_a < cell_b OR block_a <= block_b")
+    pairs = pairs.where("least(low_a, low_b) <> greatest(high_a, high_b)").select("said", "dim", "cell_a", "block_a", "cell_b", "block_b")
+    pairs = materialise(pairs, "pairs")
+
+    def one(x: str) -> DataFrame:
+        held = dealt.withColumnsRenamed({"cell": f"cell_{x}", "block": f"block_{x}"})
+        return pairs.join(held, ["said", "dim", f"cell_{x}", f"block_{x}"]).select(*pairs.columns, F.struct("comp", "unit", F.lit(x == "b").alias("right")).alias("m"))
+
+    both = one("a").unionByName(one("b").where("cell_a <> cell_b OR block_a <> block_b"))
+    groups = both.groupBy(*pairs.columns).agg(F.collect_list("m").alias("ms"))
+    return groups.select(F.explode(_crosser(least)("ms")).alias("l")).select("l.a", "l.b").distinct()
+
+
 def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93, passes: int = 12, window: int = 1024, span: int = 4096, seed: int = 1) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension are linked when their cosine in double precision is at least
-    `least`. Components are what is connected by links between vectors within about `window` places of each other in one
-    of the passes; all links within a component count. Equal vectors are one node and always linked to each other. n_links counts the other vectors linked directly, component_id is the least vec_id
+    `least`. Components are what is connected by links: those between vectors within about `window` places of each other in one
+    of the passes are found first, and whatever else is linked in larger labels by comparing cells in blocks of 2 * window.
+    Equal vectors are one node and always linked to each other. n_links counts the other vectors linked directly, component_id is the least vec_id
     reachable, kept is vec_id = component_id. A vector that is null, empty, zero, or holds a null or non-finite
     component, and one without label, is linked with nothing: 0, its own id, true. Null ids are never least; repeated
     rows count as vectors of their own. Other columns aren't read. An empty table gives no rows.
@@ -224,6 +299,14 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             yield out
 
     reach = components(dealt.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
+    # groups that no window holds whole
+    large = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block).select("label", "dim")
+    large = materialise(large, "large")
+    if large.limit(1).count():
+        reached = nodes.select("uid", "label", "dim", "unit").join(reach, F.col("uid") == F.col("r_uid"), "left")
+        more = materialise(_crossing(reached.withColumn("comp", F.coalesce("comp", "uid")), large, least, 2 * window), "crossing")
+        if more.limit(1).count():
+            reach = components(reach.select(F.col("r_uid").alias("a"), F.col("comp").alias("b")).unionByName(more)).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
     members = nodes.select("uid", "times", "unit").join(reach, F.col("uid") == F.col("r_uid"))
     linked = _counted(members, least, block).withColumnRenamed("uid", "l_uid")
     known = nodes.select("node", "uid", "times").join(linked, F.col("uid") == F.col("l_uid"), "left")

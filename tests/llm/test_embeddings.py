@@ -52,3 +52,17 @@ def test_wide_components(spark):
         got = {r.vec_id: r for r in embedding_links(df, window=window, span=64, passes=16).collect()}
         assert [got[i].component_id for i in range(170)] == comp
         assert [got[i].n_links for i in range(170)] == n_links
+
+
+def test_links_beyond_all_windows(spark):
+    """One pass and narrow windows: most links lie beyond them."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((40, 16))
+    rows = [(v + rng.normal(0, 0.15, 16)).tolist() for v in base for _ in range(4)]
+    table = [(i, v, int(i > 140)) for i, v in enumerate(rows)] + [(160 + i, rng.standard_normal(3).tolist(), 0) for i in range(60)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    n_links, comp = brute(table)
+    for window in (2, 10):
+        got = {r.vec_id: r for r in embedding_links(df, window=window, span=4 * window, passes=1).collect()}
+        assert [got[i].component_id for i in range(len(table))] == comp
+        assert [got[i].n_links for i in range(len(table))] == n_links
