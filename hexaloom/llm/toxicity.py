@@ -244,7 +244,7 @@ def _expected(emit: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[n
     return p, passes
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = 3000, text_bytes: int = 32 << 10) -> Field:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = 6000, text_bytes: int = 32 << 10) -> Field:
     """Fit on a sample of about `rows` labelled rows (a third toxic, as far as there are any), none longer than text_bytes.
 
     labels (doc_id, label) says 1 for toxic; rows without id, text or label are left out. Which rows are drawn depends on

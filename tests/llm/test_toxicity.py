@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import itertools
 import math
 import random
@@ -75,3 +76,7 @@ def test_odd_texts_and_tables(spark, model):
         df = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
         plain = fit_toxicity(df, df)
         assert score_toxicity(docs, plain).where("toxic").count() == 0
+
+
+def test_the_whole_sample_is_drawn():
+    assert inspect.signature(fit_toxicity).parameters["rows"].default >= 6000
