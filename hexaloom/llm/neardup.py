@@ -1,15 +1,16 @@
 """Near-duplicate texts by order min hash, verified by banded alignment.
 
 Texts with the same words are one node. Nodes that agree on an ordered tuple of least k-mers share a
-bucket, whose least node is its leader. Edits break whole k-mers, so short texts get keys of pairs of words
-as well, and the shortest (two edits at most) those of all they can become by leaving out words, which finds
-every pair of them. Every node is aligned with the least of its leaders, then with
-those of its other leaders that are in other components still. Where a bucket holds members of several
-components even so, its pairs across components are compared: by exact bounds (lengths, word counts) in
-blocks of bounded size, and by alignment where the bounds allow the similarity; first each stray's most
-promising pairs, then all pairs of what is apart still. So a large group of
-like texts costs about one alignment a text, and every pair of a bucket is settled: it is in one
-component, or was aligned, or can't reach the similarity.
+bucket, whose least node is its leader. Keys are of five words; edits break whole k-mers, so as many keys
+of three words stand beside them, short texts get keys of pairs of words, and the shortest (two edits at
+most) those of all they can become by leaving out words, which finds every pair of them.
+
+A leader and all that share a bucket with it are a group. Each text goes once to each of its groups, where
+one task settles them (`settle`): every member is aligned with the leader; then every pair of a bucket that is
+apart still is ruled out by an exact bound or aligned, and only links that join what was apart leave the task.
+Groups of more bytes than a block are dealt into blocks; what is in different components after that is compared
+between blocks. So a large group of like texts costs about one alignment a text, rows between stages grow with
+the texts, and every pair of a bucket is in one component, or was aligned, or can't reach the similarity.
 """
 
 from __future__ import annotations
@@ -24,16 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .alignment import similarity
 from .components import components
 from .shingles import _ODD, kmers, mix, order_min_hash, word_hashes
-from .state import col, materialise
+from .state import col, drop, materialise, scratch
 from .words import as_bytes, words
 
 _CHUNK = 1 << 19
-_BINS = 128
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[list[bytes | None], np.ndarray, np.ndarray]]:
@@ -91,16 +90,17 @@ def _shortened(hashes: np.ndarray, first: np.ndarray, least: float) -> Iterator[
 def _keys(hashes: np.ndarray, first: np.ndarray, k: int, sketches: int, take: int, least: float, short: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a chunk's texts one after another, and where each text's begin.
 
-    Texts of up to short / least words have keys of word pairs, those of more than short words keys of k words: two texts
-    that can be similar have either the first or the second both.
+    Texts of more than short words have half their keys of k words and half of two fewer, those of up to short / least words keys
+    of word pairs: two texts that can be similar have either the first or the second both.
     """
     n = np.diff(first)
+    half = -(-sketches // 2)
     at, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for held, size, many in ((n > short, k, sketches), ((n > 0) & (n <= short / least), min(k, 2), -(-sketches // 2))):
+    for held, size in ((n > short, k), (n > short, max(k - 2, 1)), ((n > 0) & (n <= short / least), min(k, 2))):
         texts = np.flatnonzero(held)
         labelled, begin = kmers(hashes[np.repeat(held, n)], np.concatenate([[0], np.cumsum(n[texts])]), size)
-        at.append(np.repeat(texts, many))
-        found.append(order_min_hash(labelled, begin, many, take, size).ravel())
+        at.append(np.repeat(texts, half))
+        found.append(order_min_hash(labelled, begin, half, take, size).ravel())
     for texts, keys in _shortened(hashes, first, least):
         at.append(texts)
         found.append(keys)
@@ -127,188 +127,317 @@ def _sketcher(k: int, sketches: int, take: int, least: float, short: int):
     return sketch
 
 
-@F.arrow_udf(T.BinaryType())
-def node_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The node of a text: equal for texts of equal words."""
-    for texts in batches:
-        nodes: list[bytes | None] = []
-        for part, data, offsets in _chunks(texts):
-            nodes += _nodes(part, *word_hashes(data, offsets))
-        yield pa.array(nodes, pa.binary())
-
-
-@F.arrow_udf(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("bins", T.BinaryType())]))
-def _profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """How many words, and how many of them in each of _BINS bins by hash."""
-    for texts in batches:
-        n, bins = [], []
-        for _, data, offsets in _chunks(texts):
-            hashes, first = word_hashes(data, offsets)
-            for a, z in zip(first[:-1], first[1:], strict=True):
-                n.append(int(z - a))
-                bins.append(np.bincount((hashes[a:z] % np.uint64(_BINS)).astype(np.int64), minlength=_BINS).astype("<i4").tobytes())
-        yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(bins, pa.binary())], ["n", "bins"])
-
-
-def _aligner(least: float):
-    @F.arrow_udf("double")
-    def align(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known: tuple[bytes, list] = (b"", [])
-        for left, right in batches:
-            out = []
-            for at in range(0, len(left), 256):  # few texts at a time as Python's bytes
-                for a, b in zip(as_bytes(left.slice(at, 256)).to_pylist(), as_bytes(right.slice(at, 256)).to_pylist(), strict=True):
-                    if known[0] != a:
-                        known = (a, words(a))
-                    out.append(similarity(known[1], words(b), least))
-            yield pa.array(out, pa.float64())
-
-    return align
-
-
-def _comparer(least: float, few: int | None):
-    """An Arrow function: members of two blocks of a bucket -> pairs across components that may reach the similarity.
-
-    few: of each stray only its so many most promising pairs in the block.
+
+def _first_of(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before in any of the arrays; the first row does."""
+    new = np.zeros(len(sorted_by[0]), bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= (x[1:] != x[:-1]) if x.ndim == 1 else (x[1:] != x[:-1]).any(1)
+    return new
+
+
+def _local_buckets(rows: int):
+    """Keys and nodes -> (key, a null, b): each key once with its least node of the rows read together; and (key, a, b): that node with each other one.
+
+    So a key that a third of all texts have is one row in so many when it is shuffled.
     """
-    pair = pa.struct([("a", pa.binary()), ("b", pa.binary())])
-
-    @F.arrow_udf("array<struct<a: binary, b: binary>>")
-    def compare(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for groups in batches:
-            out = []
-            for members in groups:
-                m = members.as_py()
-                n = np.array([x["n"] for x in m])
-                bins = np.frombuffer(b"".join(x["bins"] for x in m), "<i4").reshape(len(m), _BINS)
-                block = np.array([x["block"] for x in m])
-                comp = np.unique(np.array([x["comp"].hex() for x in m]), return_inverse=True)[1]
-                found, seen = [], set()
-                for i in range(len(m)):
-                    longer = np.maximum(n, n[i])
-                    most = ((1 - least) * longer + 1e-9).astype(int)
-                    near = (comp != comp[i]) & (np.abs(n - n[i]) <= most)
-                    # between the two blocks, or within the one if there is one only
-                    near &= (block != block[i]) if block.min() != block.max() else (np.arange(len(m)) > i)
-                    at = np.flatnonzero(near)
-                    if len(at):
-                        gap = bins[at] - bins[i]
-                        apart = np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1))
-                        at, apart = at[apart <= most[at]], apart[apart <= most[at]]
-                        if few is not None:
-                            at = at[np.argsort(apart / longer[at], kind="stable")[:few]] if block[i] >= 0 else at[:0]
-                    for j in at:
-                        a, b = sorted((m[i]["node"], m[j]["node"]))
-                        if (a, b) not in seen:
-                            seen.add((a, b))
-                            found.append({"a": a, "b": b})
-                out.append(found)
-            yield pa.array(out, pa.list_(pair))
-
-    return compare
-
-
-def _across(members: DataFrame, texts: DataFrame, least: float, block: int, few: int | None = None) -> DataFrame:
-    """Pairs (a, b) of buckets' members (key, node, comp) in different components that exact bounds don't rule out.
-
-    A bucket's largest component is its home, the rest are strays; home members are compared with strays, and strays with each other.
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from _grouped(held)
+                held, n = [], 0
+        if held:
+            yield from _grouped(held)
+
+    return collect
+
+
+def _grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    nodes, lists = table.column("node").combine_chunks(), table.column("keys").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    keys = lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(keys):
+        return
+    # numbers in the order of the nodes, equal for equal ones
+    order = pc.sort_indices(nodes).to_numpy()
+    ranked = _halves(nodes.take(pa.array(order)))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(_first_of(ranked)) - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((number[owner], keys))
+    keys, owner = keys[by], owner[by]
+    fresh = _first_of(keys, number[owner])
+    keys, owner = keys[fresh], owner[fresh]
+    first = _first_of(keys)
+    leader = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+    a = nodes.take(pa.array(leader, mask=first))
+    for at in range(0, len(keys), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[part]), a.slice(at, 1 << 15), nodes.take(pa.array(owner[part]))], names=["key", "a", "b"])
+
+
+def _halves(nodes: pa.Array) -> np.ndarray:
+    """Nodes (none null) as two numbers each."""
+    return np.frombuffer(b"".join(nodes.to_pylist()), "<u8").reshape(len(nodes), 2)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _local_buckets by key, a (null first), b -> (key, a, b, inner): the least node of a key with its other ones; inner rows as they came."""
+    last_key, last_node, leader = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, a, b = batch.column("key").to_numpy(), batch.column("a"), batch.column("b")
+        inner = pc.is_valid(a).to_numpy(zero_copy_only=False)
+        halves = _halves(b)
+        new_key, fresh = _first_of(keys), _first_of(keys, halves)
+        if last_key is not None and keys[0] == last_key:
+            new_key[0] = False
+            fresh[0] = inner[0] or last_node != halves[0].tobytes()
+        # the row that leads each row's key: -1 for the leader of the batch before
+        lead = np.maximum.accumulate(np.where(new_key, np.arange(len(keys)), -1))
+        leaders = nodes_at(b, lead, leader)
+        out = inner | (fresh & ~new_key)
+        at = pa.array(np.flatnonzero(out))
+        first = pc.if_else(pa.array(inner), a, leaders)
+        yield pa.RecordBatch.from_arrays([pa.array(keys).take(at), first.take(at), b.take(at), pa.array(inner).take(at)], names=["key", "a", "b", "inner"])
+        last_key, last_node = keys[-1], halves[-1].tobytes()
+        leader = leaders[-1].as_py()
+
+
+def nodes_at(nodes: pa.Array, at: np.ndarray, instead: bytes | None) -> pa.Array:
+    """nodes[at], and `instead` where at is -1."""
+    found = nodes.take(pa.array(np.maximum(at, 0)))
+    return found if instead is None else pc.if_else(pa.array(at < 0), pa.scalar(instead, pa.binary()), found)
+
+
+def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray, sides: np.ndarray | None = None, leader: int | None = None) -> list[tuple[int, int]]:
+    """Links that join what is apart among texts (lists of words): a forest.
+
+    Pairs count whose masks share a bit, whose comps differ, and, with sides, that are on different sides. The leader's are
+    aligned first. The others that an alignment could join share one of the words that are rarest here, each repetition a word of its
+    own: a text of n words may lose int((1 - least) n) of them, so one more, rarest first, can't all be lost. Such pairs are aligned
+    unless they have been joined meanwhile, the most promising first.
+    """
+    m = len(texts)
+    comp = np.unique(comps, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> bool:
+        if similarity(texts[i], texts[j], least) < least:
+            return False
+        links.append((i, j))
+        comp[comp == comp[j]] = comp[i]
+        return True
+
+    if leader is not None:
+        for i in range(m):
+            if comp[i] != comp[leader] and masks[i] & masks[leader]:
+                join(leader, i)
+    n = np.array([len(t) for t in texts])
+    home = comp == np.bincount(comp).argmax()
+    if home.all():
+        return links
+    numbers: dict = {}
+    words_of = np.array([numbers.setdefault(w, len(numbers)) for t in texts for w in t], np.int64)
+    text = np.repeat(np.arange(m), n)
+    by = np.lexsort((words_of, text))
+    run = np.arange(len(by)) - np.maximum.accumulate(np.where(_first_of(words_of[by], text[by]), np.arange(len(by)), 0))
+    token, times = np.unique(words_of[by] * (int(run.max(initial=0)) + 1) + run, return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    ranks = rank[token]
+    by = np.lexsort((ranks, text))  # texts are in order in either, so places within a text are too
+    ranks = ranks[by]
+    most = ((1 - least) * n + 1e-9).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    held = np.arange(len(ranks)) - np.repeat(begin[:-1], n) <= np.repeat(most, n)
+    shown, owner = ranks[held], text[held]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
+    by = np.argsort(shown, kind="stable")
+    owners, edges = owner[by], np.searchsorted(shown[by], np.arange(len(times) + 1))
+    for i in np.flatnonzero(~home):
+        mine = shown[starts[i] : starts[i + 1]]
+        if not len(mine):
+            continue
+        near, shared = np.unique(np.concatenate([owners[edges[r] : edges[r + 1]] for r in mine]), return_counts=True)
+        ok = (comp[near] != comp[i]) & ((masks[near] & masks[i]) != 0) & (home[near] | (near < i))
+        ok &= np.abs(n[near] - n[i]) <= np.maximum(most[near], most[i])
+        if sides is not None:
+            ok &= sides[near] != sides[i]
+        near = near[ok][np.argsort(-shared[ok], kind="stable")]
+        for j in near.tolist():
+            if comp[j] != comp[i]:
+                join(i, j)
+    return links
+
+
+def _settler(least: float):
+    """Rows of groups, one group after another, its leader first -> links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, {}
+
+        def settled() -> pa.RecordBatch | None:
+            held = list(rows.values())
+            apart = len({r["comp"] for r in held}) > 1
+            comps = np.array([r["comp"].hex() for r in held])
+            sides = np.array([r["side"] for r in held])
+            found = settle([words(r["text"]) for r in held], least, np.array([r["mask"] for r in held], np.int64), comps, None if held[0]["lead"] else sides, 0 if held[0]["lead"] else None) if apart else []
+            rows.clear()
+            if found:
+                return pa.RecordBatch.from_arrays([pa.array([held[i]["node"] for i, _ in found], pa.binary()), pa.array([held[j]["node"] for _, j in found], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != "text"]
+            texts = as_bytes(batch.column("text"))
+            for k, row in enumerate(batch.select(names).to_pylist()):
+                key = row["a"], row["i"], row["j"]
+                if key != group:
+                    if rows and (links := settled()):
+                        yield links
+                    group = key
+                if row["node"] not in rows:
+                    rows[row["node"]] = row | {"text": texts[k].as_py()}
+        if rows and (links := settled()):
+            yield links
+
+    return run
+
+
+def _between(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (a, node, mask, block, n_blocks, ...) of groups of many blocks, for comparing what is in different components between blocks.
+
+    The component that most of a group is in is its home: home blocks are compared with those of strays, and these with each other.
     """
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("home"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    blocks_of = lambda n: F.ceil(n / block).cast("int")
-    mixed = mixed.select("key", F.col("home.comp").alias("home"), blocks_of(F.col("home.n")).alias("nh"), blocks_of(F.col("all") - F.col("home.n")).alias("ns"))
-    profiles = texts.select(F.col("node").alias("p"), _profile("text").alias("profile"))
-    rows = members.join(mixed, "key").join(profiles, F.col("node") == F.col("p"))
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    rows = rows.select("key", "nh", "ns", "node", "comp", (F.col("comp") == F.col("home")).alias("at_home"), own(F.when(F.col("comp") == F.col("home"), F.col("nh")).otherwise(F.col("ns"))).alias("own"), F.col("profile.n").alias("n"), F.col("profile.bins").alias("bins"))
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    member = lambda b: F.struct("node", "comp", "n", "bins", b.alias("block"))
-    # a group is (bucket, kind, i, j): home block i and stray block j, or stray blocks i <= j
-    home = rows.where("at_home").select("key", F.lit(0).alias("kind"), F.col("own").alias("i"), F.explode(span(F.col("ns"))).alias("j"), member(F.lit(-1)).alias("m"))
-    stray = rows.where("NOT at_home")
-    to_home = stray.select("key", F.lit(0).alias("kind"), F.explode(span(F.col("nh"))).alias("i"), F.col("own").alias("j"), member(F.col("own")).alias("m"))
-    each = stray.select("key", "own", F.explode(span(F.col("ns"))).alias("k"), member(F.col("own")).alias("m"))
-    to_stray = each.select("key", F.lit(1).alias("kind"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "m")
-    groups = home.unionByName(to_home).unionByName(to_stray).groupBy("key", "kind", "i", "j").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
-    return groups.select(F.explode(_comparer(least, few)("ms")).alias("p")).select("p.a", "p.b").distinct()
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, k: int = 3, sketches: int = 64, take: int = 2, block: int = 256, short: int = 40) -> DataFrame:
-    """One row per document: doc_id, class_id, kept, node, n_words.
+    known = members.join(comps.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node")).drop("c_node", "component")
+    homes = known.groupBy("a", "comp").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "comp")).alias("h"), F.count("*").alias("comps")).where("comps > 1").select("a", F.col("h.comp").alias("home"))
+    known = _salted(known, homes, "a")
+    every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    stray = F.col("comp") != F.col("home")
+    columns = ["a", "node", "mask", "comp", "id", "hash"]
+    parts = [
+        known.where(~stray).select(*columns, F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side")),
+        known.where(stray).select(*columns, F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")),
+        # strays with strays: kinds apart by negative numbers, side by block; one's own block is settled
+        known.where(stray).select(*columns, "block", F.explode(every).alias("k")).where("k <> block").select(*columns, (-1 - F.least("block", "k")).alias("i"), (-1 - F.greatest("block", "k")).alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("lead", F.lit(False))
+
+
+def _salted(rows: DataFrame, few: DataFrame, key: str, salts: int = 32, how: str = "inner") -> DataFrame:
+    """rows joined with few on key; few has a key once, so its rows are repeated and a key that many rows have is many tasks' work."""
+    small = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed(key, "__key")
+    large = rows.withColumn("__s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return large.join(small, (F.col(key) == F.col("__key")) & (F.col("__s") == F.col("__salt")), how).drop("__key", "__salt", "__s")
+
+
+def _spread(rows: DataFrame, few: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows left-joined with few on node, of which each has few.node once. Nodes of at least a thousandth of all rows, a thousand at most, are joined by broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("n") > 1) & (F.col("n") * 1000 >= total)).select(F.col("node").alias("h"))
+    rest = rows.join(F.broadcast(hot), F.col("node") == F.col("h"), "left_anti").join(few.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").drop("f")
+    heavy = F.broadcast(hot.join(few.withColumnRenamed("node", "f"), F.col("h") == F.col("f"), "left").drop("f"))
+    return rest.unionByName(rows.join(heavy, F.col("node") == F.col("h")).drop("h"))
+
+
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart, and null from all texts."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.8, k: int = 5, sketches: int = 64, take: int = 2, block: int = 4096, short: int = 40, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document: doc_id, class_id, kept, node, n_words, text_hash.
 
     Texts are near-duplicates when 1 - (word edits between them) / (words of the longer) is at least `least`; classes are
-    what is connected by such pairs, among those that share one of `sketches` keys of `take` ordered least k-mers; texts of
-    up to `short` words have half as many keys of word pairs instead, and pairs that two edits at most set apart, where
-    `least` allows no more, always share one.
+    what is connected by such pairs, among those that share one of `sketches` keys of `take` ordered least k-mers (half of
+    them of k words, half of k - 2); texts of up to `short` words have half as many keys of word pairs instead, and pairs that two
+    edits at most set apart, where `least` allows no more, always share one.
     class_id is the least doc_id of the class; kept marks the rows that have it and the words of one text of the class.
     Words as in words.py, so case and marks don't matter. Wordless texts are duplicates when equal byte by byte; null
     texts are duplicates of nothing (class_id is their own id, kept is true). Rows equal in id and words are alike in
     all columns (drop_near_duplicates keeps one of them); null ids come last in their class, and a class of null ids
     alone has class_id null. Other columns aren't read. An empty table gives no rows.
+    A task settles about block texts of block_bytes together; neither changes the result.
     """
-    sketch = _sketcher(k, sketches, take, least, short)
-    sk = docs.select(col(doc_id).alias("id"), sketch(col(text)).alias("s")).select("id", "s.node", "s.n_words", F.when(F.col("s.n_words") > 0, F.col("s.keys")).alias("keys"))
-    sk = materialise(sk, "sketches")
-    entries = sk.select(F.explode("keys").alias("key"), "node")
-    buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select(F.col("key").alias("k"), "leader")
-    members = materialise(entries.join(buckets, F.col("key") == F.col("k")).groupBy("key", "leader", "node").agg(F.lit(1).alias("one")).drop("one"), "members")
-
-    reps = sk.join(members.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("id").alias("rep"))
-    here = docs.select(node_of(col(text)).alias("h"), col(doc_id).alias("id"), col(text).alias("text"))
-    texts = here.join(reps, (F.col("h") == F.col("node")) & F.col("id").eqNullSafe(F.col("rep"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "texts")
-
-    align = _aligner(least)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = (texts.select(F.col("node").alias(f"n_{x}"), F.col("text").alias(f"t_{x}")) for x in "ab")
-        both = pairs.join(left, F.col("a") == F.col("n_a")).join(right, F.col("b") == F.col("n_b"))
-        return materialise(both.withColumn("s", align("t_a", "t_b")).where(F.col("s") >= least).select("a", "b"), name)
-
-    def component_of(node: Column, comps: DataFrame, df: DataFrame, name: str = "comp") -> DataFrame:
-        return df.join(comps.select(F.col("node").alias("c_node"), "component"), node == F.col("c_node"), "left").withColumn(name, F.coalesce("component", node)).drop("c_node", "component")
-
-    # first each node with the least of its leaders, which settles most of a large group at one alignment a node
-    stars = materialise(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    firsts = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(firsts, "links")
-    found = components(links)
-    # then with its other leaders, where these are in other components still
-    open_stars = component_of(F.col("b"), found, component_of(F.col("a"), found, stars, "comp_a"), "comp_b").where("comp_a <> comp_b").select("a", "b")
-    open_stars = materialise(open_stars.join(firsts, ["a", "b"], "left_anti"), "open")
-    more = verified(open_stars, "links")
-    if more.limit(1).count():
-        links = links.union(more)
+    with scratch(docs.sparkSession) as tables:
+        sketch = _sketcher(k, sketches, take, least, short)
+        sk = docs.select(col(doc_id).alias("id"), text_hash(col(text)).alias("hash"), F.octet_length(col(text)).alias("size"), sketch(col(text)).alias("s"))
+        sk = materialise(sk.select("id", "hash", "size", "s.node", "s.n_words", F.when(F.col("s.n_words") > 0, F.col("s.keys")).alias("keys")), "sketches")
+
+        keyed = sk.where("keys IS NOT NULL").select("node", "keys").mapInArrow(_local_buckets(1 << 14), "key bigint, a binary, b binary")
+        stars = materialise(keyed.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_buckets, "key bigint, a binary, b binary, inner boolean"), "stars")
+        outer = stars.where("NOT inner").select("key", "a", "b")
+        led = outer.select(F.col("key").alias("k"), F.col("a").alias("above"), F.col("b").alias("below"))
+        inner = stars.where("inner").join(led, (F.col("key") == F.col("k")) & (F.col("a") == F.col("below")), "left").select("key", F.coalesce("above", "a").alias("a"), "b")
+        bit = F.expr("bit_or(shiftleft(1L, CAST(pmod(key, 64) AS INT)))")
+        pairs = outer.unionByName(inner).groupBy("a", F.col("b").alias("node")).agg(bit.alias("mask"))
+        heads = pairs.select("a").distinct().select("a", F.col("a").alias("node"), F.lit(-1).cast("long").alias("mask"))
+        listed = pairs.unionByName(heads)
+
+        # of each node one row stands for all
+        same = sk.where("node IS NOT NULL").groupBy("node", "id", "hash").agg(F.count("*").alias("times"), F.first("size").alias("size"))
+        reps = materialise(same.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "times", "size")).alias("rep"), F.sum("times").alias("n")), "nodes")
+        members = listed.join(reps.select(F.col("node").alias("r"), F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash"), F.col("rep.times").alias("times"), F.greatest("rep.size", F.lit(block_bytes // block)).alias("weight")), F.col("node") == F.col("r")).drop("r")
+        members = materialise(members, "members")
+        drop(stars)
+        # of a row that is repeated in id and text one stays
+        here = docs.select(col(doc_id).alias("d_id"), text_hash(col(text)).alias("d_hash"), col(text).alias("text"))
+        if members.where("times > 1").limit(1).count():
+            here = here.groupBy("d_id", "d_hash").agg(F.first("text").alias("text"))
+
+        def linked(rows: DataFrame) -> DataFrame:
+            full = here.join(rows, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_hash") == F.col("hash"))).select("a", "i", "j", "lead", "node", "comp", "side", "mask", "text")
+            groups = full.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", F.desc("lead"), "node")
+            return materialise(groups.mapInArrow(_settler(least), "a binary, b binary"), "links")
+
+        large = materialise(members.groupBy("a").agg(F.sum("weight").alias("weight")).where(F.col("weight") > block_bytes).select("a", F.ceil(F.col("weight") / block_bytes).cast("int").alias("n_blocks")), "large")
+        some_large = large.limit(1).count() > 0
+        if some_large:
+            members = _salted(members, large, "a", how="left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+        else:
+            members = members.withColumn("n_blocks", F.lit(1))
+        members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+        # a leader goes to every block of its group
+        first = members.withColumn("i", F.explode(F.when(F.col("node") == F.col("a"), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))))
+        links = linked(first.select("a", "i", F.lit(0).alias("j"), (F.col("node") == F.col("a")).alias("lead"), "node", F.col("node").alias("comp"), F.lit(0).alias("side"), "mask", "id", "hash"))
         found = components(links)
-    # then whatever of a bucket is in different components: first each stray's most promising pairs, as one link settles
-    # a stray; then all pairs of those that no such link has settled
-    tried = firsts.union(open_stars)
-    for few in (2, None):
-        grouped = component_of(F.col("node"), found, members.select("key", "node"))
-        across = materialise(_across(grouped, texts, least, block, few).join(tried, ["a", "b"], "left_anti"), "across")
-        more = verified(across, "links")
-        tried = tried.union(across)
-        if more.limit(1).count():
-            links = links.union(more)
-            found = components(links)
-
-    rows = component_of(F.col("node"), found, sk.select("id", "node", "n_words"))
-    best = rows.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best"))
-    rows = rows.join(best, F.col("comp") == F.col("c"), "left")
-    alone = F.col("comp").isNull()
+        if some_large:
+            more = linked(_between(members.where("n_blocks > 1"), found))
+            if more.limit(1).count():
+                found = components(links.unionByName(more))
+
+        # classes by node, then rows by node
+        named = reps.join(found.select(F.col("node").alias("f"), F.col("component").alias("comp")), F.col("node") == F.col("f"), "left").select("node", "n", F.struct("rep.no_id", "rep.id", "node").alias("own"), "comp")
+        best = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least_own"))
+        classes = materialise(_salted(named, best, "comp", 8, "left").select("node", "n", F.coalesce("least_own", "own").alias("best")), "classes")
+        tables.keep(sk, classes)
+    rows = _spread(sk.select("id", "node", "n_words", "hash"), classes.select("node", "best"), classes.select("node", "n"))
+    alone = F.col("best").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("best.id"))
     kept = alone | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")))
-    return rows.select(F.col("id").alias(doc_id), class_id.alias("class_id"), kept.alias("kept"), "node", "n_words")
+    return rows.select(F.col("id").alias(doc_id), class_id.alias("class_id"), kept.alias("kept"), "node", "n_words", F.col("hash").alias("text_hash"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without all but one document of each class of near_duplicates(); null texts all stay. Columns stay as they are."""
-    marks = near_duplicates(docs, text, doc_id, **options)
-    keep = materialise(marks.where("kept AND node IS NOT NULL").groupBy(F.col(doc_id).alias("__id"), F.col("node").alias("__n")).agg(F.count("*").alias("__times")), "kept")
-    columns = docs.columns
-    there = docs.withColumn("__node", node_of(col(text)))
-    joined = there.join(keep, col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__n")))
-    once = joined.where("__times = 1")
-    if keep.where("__times > 1").limit(1).count():
-        once = once.unionByName(joined.where("__times > 1").dropDuplicates(["__id", "__n"]))
-    return once.select(*map(col, columns)).unionByName(docs.where(col(text).isNull()))
+    """docs without all but one document of each class of near_duplicates(); null texts all stay. Columns stay as they are, whatever their names."""
+    with scratch(docs.sparkSession) as tables:
+        marks = near_duplicates(docs, text, doc_id, **options).where("kept AND node IS NOT NULL")
+        # rows of a node may differ in case or marks: one text of each
+        keep = marks.groupBy(col(doc_id).alias("id"), "node").agg(F.min("text_hash").alias("hash"), F.count("*").alias("times"))
+        keep = materialise(keep.select(F.col("id").alias("k_id"), F.col("hash").alias("k_hash"), "times"), "kept")
+        tables.keep(keep)
+    there = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(doc_id).alias("id"), text_hash(col(text)).alias("hash"))
+    joined = there.join(keep, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+    once = joined.where("times = 1").select("row")
+    if keep.where("times > 1").limit(1).count():
+        # equal in id and text, so one of them is as good as the other: the first is drawn on the side of the map already
+        once = once.unionByName(joined.where("times > 1").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row"))
+    return once.select("row.*").unionByName(docs.where(col(text).isNull()))

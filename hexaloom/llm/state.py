@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +32,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hexaloom/{name}-{uuid.uuid4().hex}"
 
 
+class scratch:  # noqa: N801
+    """What materialise() writes inside `with scratch(spark) as tables` is deleted at its end, but for tables.keep(...)."""
+
+    _open: ClassVar[list[scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, *frames: DataFrame) -> None:
+        """These outlive the block; a scratch around it has them then."""
+        roots = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in frames for f in df.inputFiles()}
+        kept = [p for p in self.paths if p.rsplit("/", 1)[1] in roots]
+        self.paths = [p for p in self.paths if p not in kept]
+        if len(self._open) > 1:
+            self._open[-2].paths += kept
+
+    def __enter__(self) -> scratch:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._open.remove(self)
+        _delete(self.spark, self.paths)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it again: lineage ends here, and lost executors lose nothing of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if scratch._open:
+        scratch._open[-1].paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the table that materialise() wrote, once nothing will read it any more."""
-    spark = df.sparkSession
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+    for root in paths:
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    # plans that nothing refers to any more are collected, and Spark's cleaner then removes their shuffle files
+    gc.collect()
+    jvm.System.gc()
 
 
 def ascii_lower(text: Column) -> Column:
