@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import quoted
@@ -49,7 +49,51 @@ def representative_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("bmu").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sample_id"))), lambda s: s.sample_id).alias("samples"))
 
 
+def sample_hash(sample_id: Column) -> Column:
+    """The number by which a sample is drawn and its noise is made."""
+    return F.xxhash64(sample_id)
+
+
+def draw_hash(of: Column, seed: int, epoch: int) -> Column:
+    """Orders the samples of an epoch; of: their sample_hash()."""
+    return F.xxhash64(F.lit(seed).cast("long"), F.lit(epoch).cast("long"), of)
+
+
+def bootstrap_cut(hashes: DataFrame, most: int, few: int = 10_000) -> tuple[int, int] | None:
+    """The most-th least row of hashes (draw, h), both longs; None for most = 0.
+
+    Rows are counted by the first 16 bits of draw, then by the next ones within the stretch that holds the row sought, until few are
+    left to be ordered: a table of 65,536 counts at most reaches the driver, and no task holds what is drawn.
+    """
+    if most < 1:
+        return None
+    left, need = hashes, most
+    for shift in (48, 32, 16, 0):
+        counts = sorted((r["at"], r["n"]) for r in left.groupBy(F.shiftright("draw", shift).alias("at")).agg(F.count("*").alias("n")).collect())
+        for at, n in counts:
+            if n >= need:
+                break
+            need -= n
+        else:
+            raise ValueError("fewer rows than are to be drawn")
+        left = left.where(F.shiftright("draw", shift) == at)
+        if n <= few:
+            break
+    row = left.orderBy("draw", "h").offset(need - 1).limit(1).first()
+    return row["draw"], row["h"]
+
+
+def drawn(of: Column, seed: int, epoch: int, cut: tuple[int, int] | None) -> Column:
+    """Whether a sample takes part in an epoch; cut: bootstrap_cut() of that epoch."""
+    if cut is None:
+        return F.lit(False)
+    draw = draw_hash(of, seed, epoch)
+    return (draw < cut[0]) | ((draw == cut[0]) & (of <= cut[1]))
+
+
 def bootstrap(samples: DataFrame, proportion: float, seed: int, epoch: int, n: int) -> DataFrame:
-    """Exactly int(proportion * n) samples, those of least hash of (seed, epoch, sample_id); n: the table's rows."""
-    most = math.floor(proportion * n)
-    return samples.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("sample_id")), "sample_id").limit(most)
+    """int(proportion * n) samples, those of least hash of (seed, epoch, sample_id); n: the table's rows. sample_id is unique; rows that share
+    one are drawn together."""
+    h = sample_hash(F.col("sample_id"))
+    cut = bootstrap_cut(samples.select(draw_hash(h, seed, epoch).alias("draw"), h.alias("h")), math.floor(proportion * n))
+    return samples.where(drawn(h, seed, epoch, cut))

@@ -27,6 +27,24 @@ def local_sums(x: np.ndarray, at: np.ndarray, dist: np.ndarray, k: int, skip_mis
     return out
 
 
+#: The cells of a table of sums that aren't zero.
+SPARSE = "bmu int, pos int, s double"
+
+
+def sparse_rows(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    if total is not None:
+        at, of = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(total[at, of])], names=["bmu", "pos", "s"])
+
+
+def summed(parts: DataFrame, k: int, d: int) -> np.ndarray:
+    """The table of sums of all tasks' sparse_rows()."""
+    out = np.zeros((k, 2 * d + 2))
+    for r in parts.groupBy("bmu", "pos").agg(F.sum("s").alias("s")).collect():
+        out[r["bmu"], r["pos"]] = r["s"]
+    return out
+
+
 def voronoi_sums(samples: DataFrame, codebook: np.ndarray, skip_missing: bool = False) -> np.ndarray:
     """local_sums() over all samples. Tasks sum what they read, a hash aggregate sums the tasks; k * (2 d + 2) numbers reach the driver."""
     k, d = codebook.shape
@@ -38,13 +56,9 @@ def voronoi_sums(samples: DataFrame, codebook: np.ndarray, skip_missing: bool =
             x = matrix(batch.column(0), d)
             part = local_sums(x, *ranked(x, w), k, skip_missing)
             total = part if total is None else total + part
-        if total is not None:
-            at, of = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(total[at, of])], names=["bmu", "pos", "s"])
+        yield from sparse_rows(total)
 
-    out = np.zeros((k, 2 * d + 2))
-    for r in samples.select("x").mapInArrow(sums, "bmu int, pos int, s double").groupBy("bmu", "pos").agg(F.sum("s").alias("s")).collect():
-        out[r["bmu"], r["pos"]] = r["s"]
+    out = summed(samples.select("x").mapInArrow(sums, SPARSE), k, d)
     held.unpersist()
     return out
 

@@ -2,7 +2,8 @@
 
 What crosses between them each epoch is the codebook, one way, and sums per neuron, the other. Small
 inputs (at most local_cells cells) are brought to the driver once and run the same arithmetic there, as
-thousands of epochs over a handful of rows would be nothing but scheduling.
+thousands of epochs over a handful of rows would be nothing but scheduling. Draws and noise come from hashes of
+the samples' ids, so both give one map.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel
+from ..functions.scalars import xxhash64_longs
 from ..operators.assign import matrix, ranked
-from ..operators.samples import bootstrap
-from ..operators.update import local_sums, smooth, voronoi_sums
+from ..operators.samples import bootstrap_cut, draw_hash, drawn, sample_hash
+from ..operators.update import SPARSE, local_sums, smooth, sparse_rows, summed, voronoi_sums
 from .schedule import Phase
 
 
@@ -67,17 +69,16 @@ def train(samples: DataFrame, n: int, codebook: np.ndarray, grid: np.ndarray, ph
     total_radius = phases[0].first
     local = n * codebook.shape[1] <= local_cells
     if local:
-        rows = samples.orderBy("sample_id").toPandas()
+        rows = samples.orderBy("sample_id").select("x", sample_hash(F.col("sample_id")).alias("h")).toPandas()
         x = np.array([[np.nan if v is None else v for v in r] for r in rows["x"]], float).reshape(len(rows), codebook.shape[1])
-        state = _Local(x, missing, skip_missing, seed)
+        state = _Local(x, rows["h"].to_numpy(np.int64), missing, skip_missing, seed)
     else:
         state = _Spread(samples.select("sample_id", "x"), n, missing, skip_missing, seed)
     for phase in phases:
         filling = missing and previous_epoch and phase.name == "fine"
         for epoch, radius in enumerate(phase.radii, 1):
-            draw = (bootstrap_proportion, epoch) if bootstrap_proportion else None
             vary = (radius - 1) / total_radius if filling else None
-            sums = state.epoch(job.codebook, vary, draw, epoch)
+            sums = state.epoch(job.codebook, vary, bootstrap_proportion)
             rows_ = sums[:, -2].sum()
             job.history.append((phase.name, epoch, float(radius), float(sums[:, -1].sum() / rows_) if rows_ else 0.0))
             job.codebook = smooth(sums, h(grid, float(radius)), job.codebook)
@@ -85,28 +86,41 @@ def train(samples: DataFrame, n: int, codebook: np.ndarray, grid: np.ndarray, ph
     return job
 
 
-def _vary(fill: np.ndarray, vary: float, rng: np.random.Generator) -> np.ndarray:
-    return fill * rng.uniform(1 - vary, 1 + vary, fill.shape)
+def _noise(fill: np.ndarray, vary: float, seed: int, epoch: int, h: np.ndarray) -> np.ndarray:
+    """fill (a row a sample) times 1 +- vary, by the hash of (seed, epoch, sample, cell): the same wherever it is computed."""
+    at = xxhash64_longs(seed, epoch, h[:, None], np.arange(fill.shape[1])[None, :])
+    share = (at.view(np.uint64) >> np.uint64(11)).astype(float) / (1 << 53)
+    return fill * (1 - vary + 2 * vary * share)
+
+
+def _placed(x: np.ndarray, last: np.ndarray, w: np.ndarray, filling: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Neurons and distances; when filling, gaps are measured as the weights of the neuron that the sample had last."""
+    if not filling:
+        return ranked(x, w)
+    return ranked(np.where(np.isnan(x) & (last >= 0)[:, None], w[last], x), w)
+
+
+def _used(x: np.ndarray, b: np.ndarray, w: np.ndarray, vary: float | None, seed: int, epoch: int, h: np.ndarray) -> np.ndarray:
+    """What a sample counts as: with vary, its gaps are the varied weights of its neuron."""
+    return x if vary is None else np.where(np.isnan(x) & (b >= 0)[:, None], _noise(w[b], vary, seed, epoch, h), x)
 
 
 class _Local:
-    def __init__(self, x, missing, skip_missing, seed):
-        self.x, self.gaps, self.skip, self.rng = x, np.isnan(x) if missing else None, skip_missing, np.random.default_rng(seed)
-        self.last = np.full(len(x), -1)
+    def __init__(self, x, h, missing, skip_missing, seed):
+        self.x, self.h, self.missing, self.skip, self.seed = x, h, missing, skip_missing, seed
+        self.last, self.count = np.full(len(x), -1), 0
 
-    def epoch(self, w, vary, draw, epoch):
+    def epoch(self, w, vary, draw):
+        self.count += 1
         at = np.arange(len(self.x))
         if draw:
-            at = np.sort(self.rng.choice(len(self.x), int(draw[0] * len(self.x)), replace=False))
-        x = self.x[at]
-        if vary is not None and (self.last >= 0).any():
-            gaps, past = self.gaps[at], self.last[at]
-            b, dist = ranked(np.where(gaps & (past >= 0)[:, None], w[past], x), w)
-            x = np.where(gaps & (b >= 0)[:, None], _vary(w[b], vary, self.rng), x)
-        else:
-            b, dist = ranked(x, w)
+            order = np.lexsort((self.h, xxhash64_longs(self.seed, self.count, self.h)))
+            at = np.sort(order[: int(draw * len(self.x))])
+        x, h = self.x[at], self.h[at]
+        vary = vary if self.count > 1 else None  # before, no sample has a neuron
+        b, dist = _placed(x, self.last[at], w, vary is not None)
         self.last[at] = b
-        return local_sums(x, b, dist, len(w), self.skip)
+        return local_sums(_used(x, b, w, vary, self.seed, self.count, h), b, dist, len(w), self.skip)
 
     def close(self):
         pass
@@ -116,64 +130,55 @@ class _Spread:
     """Samples on the executors. With missing cells, each sample's last neuron is kept beside it, in a persisted table of its own epoch."""
 
     def __init__(self, samples, n, missing, skip_missing, seed):
-        self.samples, self.n, self.missing, self.skip, self.seed = samples.persist(), n, missing, skip_missing, seed
-        self.state = self.samples.withColumn("last", F.lit(-1)).persist() if missing else self.samples
-        self.count = 0
+        self.samples, self.n, self.missing, self.skip, self.seed = samples.withColumn("h", sample_hash(F.col("sample_id"))).persist(), n, missing, skip_missing, seed
+        self.state = self.samples.withColumn("last", F.lit(-1)) if missing else None
+        self.count, self.kept = 0, None
 
-    def epoch(self, w, vary, draw, epoch):
+    def epoch(self, w, vary, draw):
         self.count += 1
+        chosen = F.lit(True)
+        if draw:
+            hashes = self.samples.select(draw_hash(F.col("h"), self.seed, self.count).alias("draw"), "h")
+            chosen = drawn(F.col("h"), self.seed, self.count, bootstrap_cut(hashes, int(draw * self.n)))
         if not self.missing:
-            chosen = bootstrap(self.samples, draw[0], self.seed, self.count, self.n) if draw else self.samples
-            return voronoi_sums(chosen, w, self.skip)
+            return voronoi_sums(self.samples.where(chosen), w, self.skip)
         # which samples take part is a column, so that the others keep what they have
-        state = self.state
-        if draw:
-            part = bootstrap(self.samples.select("sample_id"), draw[0], self.seed, self.count, self.n).withColumn("drawn", F.lit(True))
-            state = state.join(part, "sample_id", "left").select(*self.state.columns, F.coalesce("drawn", F.lit(False)).alias("drawn"))
-        else:
-            state = state.withColumn("drawn", F.lit(True))
-        held = state.sparkSession.sparkContext.broadcast(w)
-        seed, count, d = self.seed, self.count, w.shape[1]
+        state = self.state.withColumn("drawn", chosen)
+        sc = state.sparkSession.sparkContext
+        held = sc.broadcast(w)
+        seed, count, (k, d), skip = self.seed, self.count, w.shape, self.skip
+        vary = vary if count > 1 else None
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = held.value
             for batch in batches:
-                x, last = matrix(batch.column("x"), d), batch.column("last").to_numpy(zero_copy_only=False)
-                drawn = batch.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
-                gaps = np.isnan(x)
-                noise = batch.column("noise").to_numpy(zero_copy_only=False)
-                if vary is not None and (last >= 0).any():
-                    b, dist = ranked(np.where(gaps & (last >= 0)[:, None], w[last], x), w)
-                    rows = np.stack([_vary(w[k], vary, np.random.default_rng([seed, count, int(z) & 0x7FFFFFFFFFFFFFFF])) for k, z in zip(b, noise, strict=True)]) if len(b) else w[:0]
-                    used = np.where(gaps & (b >= 0)[:, None], rows, x)
-                else:
-                    b, dist = ranked(x, w)
-                    used = x
-                now = np.where(drawn, b, last).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), pa.array(np.where(np.isnan(used), None, used).ravel().tolist(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("x"), pa.array(now), lists, pa.array(b, pa.int32()), pa.array(dist, pa.float64()), pa.array(drawn)], names=["sample_id", "x", "last", "used", "b", "dist", "drawn"])
-
-        kind = dict(state.dtypes)["sample_id"]
-        ready = state.withColumn("noise", F.xxhash64("sample_id")).mapInArrow(step, f"sample_id {kind}, x array<double>, last int, used array<double>, b int, dist double, drawn boolean")
-        if self.count % 10 == 0 and state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+                last = batch.column("last").to_numpy()
+                b, dist = _placed(matrix(batch.column("x"), d), last, held.value, vary is not None)
+                part = batch.column("drawn").to_numpy(zero_copy_only=False).astype(bool)
+                now = pa.array(np.where(part, b, last).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("x"), now, pa.array(np.where(part, b, -1).astype(np.int32)), pa.array(dist, pa.float64())], names=["h", "x", "last", "b", "dist"])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                b = batch.column("b").to_numpy()
+                x = _used(matrix(batch.column("x"), d), b, held.value, vary, seed, count, batch.column("h").to_numpy())
+                part = local_sums(x, b, batch.column("dist").to_numpy(), k, skip)
+                total = part if total is None else total + part
+            yield from sparse_rows(total)
+
+        ready = state.mapInArrow(step, "h bigint, x array<double>, last int, b int, dist double")
+        if self.count % 10 == 0 and sc._jsc.sc().getCheckpointDir().isDefined():
             ready = ready.checkpoint()
         ready = ready.persist()
-        k = len(w)
-        cells = ready.where("drawn AND b >= 0").select("b", "dist", F.posexplode("used").alias("pos", "v"))
-        out = np.zeros((k, 2 * d + 2))
-        for r in cells.groupBy("b", "pos").agg(F.sum("v").alias("s"), F.count("v" if self.skip else F.lit(1)).alias("n"), F.count(F.lit(1)).alias("rows"), F.sum("dist").alias("q")).collect():
-            out[r["b"], r["pos"]], out[r["b"], d + r["pos"]] = r["s"] or 0.0, r["n"]
-            if r["pos"] == 0:
-                out[r["b"], 2 * d], out[r["b"], 2 * d + 1] = r["rows"], r["q"]
-        self.state.unpersist()
+        out = summed(ready.mapInArrow(sums, SPARSE), k, d)
         held.unpersist()
-        self.state = ready.select("sample_id", "x", "last")
-        self.kept, previous = ready, getattr(self, "kept", None)
-        if previous is not None:
-            previous.unpersist()
+        self.state = ready.select("h", "x", "last")
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept = ready
         return out
 
     def close(self):
         self.samples.unpersist()
-        if self.missing and hasattr(self, "kept"):
+        if self.kept is not None:
             self.kept.unpersist()

@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from hexaloom.functions.normalize import feature_stats, normalize, to_vector
-from hexaloom.functions.scalars import min_decimals, near_zero
-from hexaloom.operators import cluster, evaluate, plotdata, samples, umatrix
+from hexaloom.functions.scalars import min_decimals, near_zero, xxhash64_longs
+from hexaloom.operators import cluster, evaluate, lattice, plotdata, samples, umatrix
 from hexaloom.operators.assign import assign, assign_sql, ranked, squared
 from hexaloom.operators.update import smooth, voronoi_sums
 from hexaloom.plans import schedule
 from hexaloom.plans.estimator import SelfOrganizingMap
-from hexaloom.plans.training import pca_codebook
+from hexaloom.plans.training import pca_codebook, train
 from hexaloom.sources import store
 from hexaloom.streaming.online import OnlineUpdate, place
 
@@ -119,6 +119,41 @@ def test_training_with_gaps(spark, points, local_cells, options):
         assert np.abs(full[::6, 2] - points[::6, 2]).mean() < 1.5
 
 
+@pytest.mark.parametrize("options", [{"bootstrap": True}, {"missing": True}, {"missing": True, "bootstrap": True, "missing_update": "skip"}])
+def test_draws_and_noise_do_not_depend_on_where_it_runs(spark, points, options):
+    x = points.copy()
+    if "missing" in options:
+        x[::4, 2] = np.nan
+        x[1::9, 0] = np.nan
+    phases = [schedule.Phase("rough", 3, 3.0, 2.0), schedule.Phase("fine", 3, 2.5, 1.5)]
+    vectors = to_vector(table(spark, x), "sample_id", list("abc")).repartition(3)
+    start, grid = points[::5], lattice.distance_array(6, 4, True)
+    here, there = (train(vectors, 120, start, grid, phases, missing="missing" in options, skip_missing="missing_update" in options, bootstrap_proportion=0.7 if "bootstrap" in options else None, seed=5, local_cells=c) for c in (10**6, 0))
+    assert np.abs(here.codebook - there.codebook).max() < 2e-5
+    assert np.allclose([h[3] for h in here.history], [h[3] for h in there.history], atol=1e-5)
+    other = train(vectors, 120, start, grid, phases, missing="missing" in options, bootstrap_proportion=0.7 if "bootstrap" in options else None, seed=6)
+    assert np.abs(here.codebook - other.codebook).max() > 1e-3
+
+
+def test_hashes_are_those_of_the_session(spark):
+    values = np.array([0, 1, -1, 2**62, -(2**63)])
+    rows = spark.createDataFrame([(int(v),) for v in values], "v long").select(F.xxhash64(F.lit(7).cast("long"), "v").alias("h")).collect()
+    assert [r.h for r in rows] == xxhash64_longs(7, values).tolist()
+
+
+def test_bootstrap_draws_the_least_hashes(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "sample_id")
+    got = sorted(r.sample_id for r in samples.bootstrap(ids, 0.35, 9, 4, 3000).collect())
+    h = [r.h for r in ids.select(samples.sample_hash(F.col("sample_id")).alias("h")).collect()]
+    order = sorted(range(3000), key=lambda i: (int(xxhash64_longs(9, 4, h[i])), h[i]))
+    assert got == sorted(order[:1050])
+    hashes = ids.select((F.col("sample_id") % 3).alias("draw"), F.col("sample_id").alias("h"))
+    assert samples.bootstrap_cut(hashes, 1500, few=5) == (1, 3 * 499 + 1) and samples.bootstrap_cut(hashes, 0) is None
+    assert samples.bootstrap(ids, 0.0, 1, 1, 3000).count() == 0
+    with pytest.raises(ValueError):
+        samples.bootstrap_cut(hashes, 3001)
+
+
 def test_settings_are_checked(spark, points):
     x = points.copy()
     x[0, 0] = np.nan
@@ -265,7 +300,15 @@ def test_streams(spark, points, tmp_path):
     q = place(model, stream).writeStream.format("memory").queryName("placed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("placed").exceptAll(place(model, df)).count() == 0
-    before = model.codebook.copy()
-    q = stream.writeStream.foreachBatch(OnlineUpdate(model, share=0.5)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    # rows that have moved: a share of the way to their own batch update, as numpy has it
+    moved = points + 1.5
+    table(spark, moved).write.parquet(f"{tmp_path}/moved")
+    before, w = model.codebook.copy(), model.codebook
+    x = np.array([r.x for r in model.vectors(table(spark, moved)).orderBy("sample_id").collect()])
+    at = ((x[:, None] - w[None]) ** 2).sum(2).round(9).argmin(1)
+    h = np.exp(-lattice.distance_array(*model.size, model.toroid, model.settings.dist_factor) / 2)
+    new = np.round((h[:, at] @ x) / h[:, at].sum(1)[:, None], 6)
+    q = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/moved").writeStream.foreachBatch(OnlineUpdate(model, share=0.5)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert not np.array_equal(before, model.codebook)
+    assert np.abs(model.codebook - before).max() > 0.1
+    assert np.abs(model.codebook - (before + new) / 2).max() < 1e-5
