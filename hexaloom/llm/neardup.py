@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .alignment import similarity
+from .alignment import similar
 from .components import components
 from .shingles import _ODD, kmers, mix, order_min_hash, word_hashes
-from .state import col, drop, materialise, scratch
+from .state import col, drop, give_back, materialise, scratch
 from .words import as_bytes, words
 
 _CHUNK = 1 << 19
@@ -123,6 +123,7 @@ def _sketcher(k: int, sketches: int, take: int, least: float, short: int):
             flat = np.concatenate(keys).astype(np.int64) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(flat))
             yield pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts) if counts else [], pa.int32()), lists], ["node", "n_words", "keys"])
+        give_back()
 
     return sketch
 
@@ -137,10 +138,11 @@ def _first_of(*sorted_by: np.ndarray) -> np.ndarray:
     return new
 
 
-def _local_buckets(rows: int):
-    """Keys and nodes -> (key, a null, b): each key once with its least node of the rows read together; and (key, a, b): that node with each other one.
+def _local_buckets(rows: int, parts: int):
+    """Nodes and their keys -> of each key met in so many rows together, its least node, packed by part of the keys (part, packed);
+    and that node with each other one of the key (key, a, b).
 
-    So a key that a third of all texts have is one row in so many when it is shuffled.
+    So a key that a third of all texts have is one entry in so many rows when keys meet.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,72 +152,99 @@ def _local_buckets(rows: int):
             held.append(batch)
             n += batch.num_rows
             if n >= rows:
-                yield from _grouped(held)
+                yield from _grouped(held, parts)
                 held, n = [], 0
         if held:
-            yield from _grouped(held)
+            yield from _grouped(held, parts)
 
     return collect
 
 
-def _grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STARS = "part bigint, packed binary, key bigint, a binary, b binary"
+
+
+def _stars(part: np.ndarray, packed: list, key: np.ndarray | None = None, a: list = (), b: list = ()) -> pa.RecordBatch:
+    n = len(part)
+    return pa.RecordBatch.from_arrays([
+        pa.array(part, pa.int64()), pa.array(packed or [None] * n, pa.binary()), pa.array(key, pa.int64()) if key is not None else pa.nulls(n, pa.int64()),
+        pa.array(a or [None] * n, pa.binary()), pa.array(b or [None] * n, pa.binary()),
+    ], names=["part", "packed", "key", "a", "b"])
+
+
+def _grouped(held: list[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held).combine_chunks()
     nodes, lists = table.column("node").combine_chunks(), table.column("keys").combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     keys = lists.flatten().to_numpy(zero_copy_only=False)
     if not len(keys):
         return
-    # numbers in the order of the nodes, equal for equal ones
-    order = pc.sort_indices(nodes).to_numpy()
-    ranked = _halves(nodes.take(pa.array(order)))
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(_first_of(ranked)) - 1
+    names = np.frombuffer(b"".join(nodes.to_pylist()), ">u8").reshape(len(nodes), 2)
+    number = np.empty(len(names), np.int64)  # in the order of the nodes, equal for equal ones
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    number[order] = np.cumsum(_first_of(names[order])) - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
     by = np.lexsort((number[owner], keys))
     keys, owner = keys[by], owner[by]
     fresh = _first_of(keys, number[owner])
     keys, owner = keys[fresh], owner[fresh]
     first = _first_of(keys)
-    leader = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
-    a = nodes.take(pa.array(leader, mask=first))
-    for at in range(0, len(keys), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[part]), a.slice(at, 1 << 15), nodes.take(pa.array(owner[part]))], names=["key", "a", "b"])
-
-
-def _halves(nodes: pa.Array) -> np.ndarray:
-    """Nodes (none null) as two numbers each."""
-    return np.frombuffer(b"".join(nodes.to_pylist()), "<u8").reshape(len(nodes), 2)
+    leader = owner[first][np.cumsum(first) - 1]
+    # one row a part: keys, then nodes
+    k, o = keys[first], owner[first]
+    part = (k.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    k, o, part = k[by], o[by], part[by]
+    at = np.flatnonzero(_first_of(part))
+    yield _stars(part[at], [k[i:j].tobytes() + names[o[i:j]].tobytes() for i, j in zip(at, [*at[1:], len(k)], strict=True)])
+    rest = np.flatnonzero(~first)
+    raw = nodes.to_pylist()
+    for i in range(0, len(rest), 1 << 14):
+        r = rest[i : i + (1 << 14)]
+        yield _stars(names[owner[r], 1].astype(np.uint64) % np.uint64(parts), [], keys[r], [raw[x] for x in leader[r]], [raw[x] for x in owner[r]])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _local_buckets by key, a (null first), b -> (key, a, b, inner): the least node of a key with its other ones; inner rows as they came."""
-    last_key, last_node, leader = None, None, None
+    """Rows of _local_buckets by part -> (key, a, b, inner): the least node of a key with its other ones; inner rows as they came."""
+    names = ["key", "a", "b", "inner"]
+
+    def met(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(p) // 24 for p in packed]
+        keys = np.concatenate([np.frombuffer(p, np.int64, n) for p, n in zip(packed, sizes, strict=True)])
+        order = np.argsort(keys, kind="stable")
+        fresh = _first_of(keys[order])
+        again = ~fresh
+        again[:-1] |= ~fresh[1:]
+        at = order[again]  # of keys that are there twice
+        if not len(at):
+            return
+        nodes = np.concatenate([np.frombuffer(p, ">u8", 2 * n, 8 * n).reshape(n, 2) for p, n in zip(packed, sizes, strict=True)])[at]
+        keys = keys[at]
+        by = np.lexsort((nodes[:, 1], nodes[:, 0], keys))
+        keys, nodes = keys[by], nodes[by]
+        fresh = _first_of(keys, nodes)
+        keys, nodes = keys[fresh], nodes[fresh]
+        first = _first_of(keys)
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        raw = nodes.astype(">u8").tobytes()
+        for i in range(0, len(keys), 1 << 14):
+            rows = np.flatnonzero(~first[i : i + (1 << 14)]) + i
+            node = lambda r: pa.array([raw[16 * x : 16 * x + 16] for x in r], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), node(lead[rows]), node(rows), pa.array(np.zeros(len(rows), bool))], names=names)
+
+    part, packed = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, a, b = batch.column("key").to_numpy(), batch.column("a"), batch.column("b")
-        inner = pc.is_valid(a).to_numpy(zero_copy_only=False)
-        halves = _halves(b)
-        new_key, fresh = _first_of(keys), _first_of(keys, halves)
-        if last_key is not None and keys[0] == last_key:
-            new_key[0] = False
-            fresh[0] = inner[0] or last_node != halves[0].tobytes()
-        # the row that leads each row's key: -1 for the leader of the batch before
-        lead = np.maximum.accumulate(np.where(new_key, np.arange(len(keys)), -1))
-        leaders = nodes_at(b, lead, leader)
-        out = inner | (fresh & ~new_key)
-        at = pa.array(np.flatnonzero(out))
-        first = pc.if_else(pa.array(inner), a, leaders)
-        yield pa.RecordBatch.from_arrays([pa.array(keys).take(at), first.take(at), b.take(at), pa.array(inner).take(at)], names=["key", "a", "b", "inner"])
-        last_key, last_node = keys[-1], halves[-1].tobytes()
-        leader = leaders[-1].as_py()
-
-
-def nodes_at(nodes: pa.Array, at: np.ndarray, instead: bytes | None) -> pa.Array:
-    """nodes[at], and `instead` where at is -1."""
-    found = nodes.take(pa.array(np.maximum(at, 0)))
-    return found if instead is None else pc.if_else(pa.array(at < 0), pa.scalar(instead, pa.binary()), found)
+        inner = batch.filter(pc.is_valid(batch.column("key")))
+        if inner.num_rows:
+            yield pa.RecordBatch.from_arrays([inner.column("key"), inner.column("a"), inner.column("b"), pa.array(np.ones(inner.num_rows, bool))], names=names)
+        rows = batch.filter(pc.is_valid(batch.column("packed")))
+        for p, blob in zip(rows.column("part").to_pylist(), rows.column("packed").to_pylist(), strict=True):
+            if p != part and packed:
+                yield from met(packed)
+                packed = []
+            part = p
+            packed.append(blob)
+    if packed:
+        yield from met(packed)
 
 
 def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray, sides: np.ndarray | None = None, leader: int | None = None) -> list[tuple[int, int]]:
@@ -231,7 +260,7 @@ def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray
     links: list[tuple[int, int]] = []
 
     def join(i: int, j: int) -> bool:
-        if similarity(texts[i], texts[j], least) < least:
+        if not similar(texts[i], texts[j], least):
             return False
         links.append((i, j))
         comp[comp == comp[j]] = comp[i]
@@ -245,12 +274,11 @@ def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray
     home = comp == np.bincount(comp).argmax()
     if home.all():
         return links
-    numbers: dict = {}
-    words_of = np.array([numbers.setdefault(w, len(numbers)) for t in texts for w in t], np.int64)
+    words_of = np.fromiter(map(hash, chain.from_iterable(texts)), np.int64, int(n.sum()))
     text = np.repeat(np.arange(m), n)
     by = np.lexsort((words_of, text))
     run = np.arange(len(by)) - np.maximum.accumulate(np.where(_first_of(words_of[by], text[by]), np.arange(len(by)), 0))
-    token, times = np.unique(words_of[by] * (int(run.max(initial=0)) + 1) + run, return_inverse=True, return_counts=True)[1:]
+    token, times = np.unique(mix(words_of[by].view(np.uint64) + mix(run.astype(np.uint64))), return_inverse=True, return_counts=True)[1:]
     rank = np.empty(len(times), np.int64)
     rank[np.argsort(times, kind="stable")] = np.arange(len(times))
     ranks = rank[token]
@@ -308,6 +336,7 @@ def _settler(least: float):
                     rows[row["node"]] = row | {"text": texts[k].as_py()}
         if rows and (links := settled()):
             yield links
+        give_back()
 
     return run
 
@@ -372,8 +401,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         sk = docs.select(col(doc_id).alias("id"), text_hash(col(text)).alias("hash"), F.octet_length(col(text)).alias("size"), sketch(col(text)).alias("s"))
         sk = materialise(sk.select("id", "hash", "size", "s.node", "s.n_words", F.when(F.col("s.n_words") > 0, F.col("s.keys")).alias("keys")), "sketches")
 
-        keyed = sk.where("keys IS NOT NULL").select("node", "keys").mapInArrow(_local_buckets(1 << 14), "key bigint, a binary, b binary")
-        stars = materialise(keyed.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_buckets, "key bigint, a binary, b binary, inner boolean"), "stars")
+        # about a million keys a part, whatever the table
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sk.count() * sketches >> 20)
+        keyed = sk.where("keys IS NOT NULL").select("node", "keys").mapInArrow(_local_buckets(1 << 14, parts), _STARS)
+        stars = materialise(keyed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_buckets, "key bigint, a binary, b binary, inner boolean"), "stars")
         outer = stars.where("NOT inner").select("key", "a", "b")
         led = outer.select(F.col("key").alias("k"), F.col("a").alias("above"), F.col("b").alias("below"))
         inner = stars.where("inner").join(led, (F.col("key") == F.col("k")) & (F.col("a") == F.col("below")), "left").select("key", F.coalesce("above", "a").alias("a"), "b")

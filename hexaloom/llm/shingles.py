@@ -8,6 +8,8 @@ same order are needed.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .words import WORD_BYTES
@@ -41,14 +43,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first = np.searchsorted(at, offsets)
     if not len(at):
         return np.empty(0, np.uint64), first
-    powers = np.full(n, _ROOT)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    back = np.full(n, _BACK)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    powers *= shown
-    return mix(np.add.reduceat(powers, at) * back[at]), first
+    return mix(np.add.reduceat(_powers(_ROOT, n) * shown, at) * _powers(_BACK, n)[at]), first
+
+
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1."""
+    if n <= 1 << 20:
+        return _few_powers(of)[:n]
+    out = np.full(n, of)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+@lru_cache(maxsize=2)
+def _few_powers(of: np.uint64) -> np.ndarray:
+    out = np.full(1 << 20, of)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def kmers(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +71,37 @@ def kmers(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
     if not total:
         return np.empty(0, np.uint64), begin
     text = np.repeat(np.arange(len(n_words)), n_kmers)
-    at = np.arange(total) - begin[text] + first[text]
     padded = np.concatenate([words, np.zeros(k, np.uint64)])
-    h = np.zeros(total, np.uint64)
-    stop = first[1:][text]
+    h = np.zeros(len(words), np.uint64)
     for j in range(k):
-        h = h * _ODD + np.where(at + j < stop, padded[at + j], np.uint64(j + 1))
-    h = mix(h)
-    # number equal k-mers of a text in text order
+        h = h * _ODD + padded[j : j + len(words)]
+    left = np.repeat(first[1:], n_words) - np.arange(first[0], first[-1])  # words from here to the end of the text
+    h = h[first[0] : first[-1]]
+    if (n_words[n_words > 0] < k).any():
+        # all of a short text, its first word's place standing for it, told from texts of other lengths
+        at = first[:-1][(n_words > 0) & (n_words < k)]
+        size = n_words[(n_words > 0) & (n_words < k)]
+        whole = size.astype(np.uint64)
+        for j in range(k):
+            whole = whole * _ODD + np.where(j < size, padded[at + j], np.uint64(0))
+        h[at - first[0]] = whole
+        left[at - first[0]] = k
+    h = mix(h[left >= k])
+    # number equal k-mers of a text in text order; few are
     key = h + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort(key, kind="stable")
-    same = np.empty(total, bool)
-    same[0] = False
-    same[1:] = key[order[1:]] == key[order[:-1]]
-    place = np.arange(total)
-    earlier = np.empty(total, np.int64)
-    earlier[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-    return mix(h + earlier.astype(np.uint64) * _ODD), begin
+    ordered = np.sort(key)
+    repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(repeated):
+        among = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
+        place = np.flatnonzero(repeated[among] == key)
+        order = np.argsort(among[place], kind="stable")
+        same = np.empty(len(place), bool)
+        same[0] = False
+        same[1:] = among[place][order[1:]] == among[place][order[:-1]]
+        run = np.arange(len(place))
+        earlier = run - np.maximum.accumulate(np.where(same, 0, run))
+        h[place[order]] += earlier.astype(np.uint64) * _ODD
+    return mix(h), begin
 
 
 def order_min_hash(hashes: np.ndarray, begin: np.ndarray, sketches: int, take: int = 2, seed: int = 1) -> np.ndarray:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,13 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm.System.gc()
 
 
+def give_back() -> None:
+    """At the end of a task: what this Python process has freed goes back to the system, as the process is used again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other letter stays, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

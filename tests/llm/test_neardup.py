@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hexaloom.llm.alignment import edit_distance, similarity
+from hexaloom.llm.alignment import banded, edit_distance, path_cost, similar, similarity
 from hexaloom.llm.components import components
 from hexaloom.llm.neardup import drop_near_duplicates, near_duplicates
 from hexaloom.llm.shingles import kmers, order_min_hash, word_hashes
@@ -30,6 +30,16 @@ def test_banded_alignment_is_the_edit_distance(a, b, most):
     assert edit_distance(a, b, most) == (d if d <= most else most + 1)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=40), st.integers(0, 45), st.sampled_from([0.0, 0.3, 0.6, 0.8, 1.0]))
+def test_a_band_never_gives_less_than_the_distance(a, b, band, least):
+    d, n = table_distance(a, b), max(len(a), len(b))
+    got = banded(a, b, band, n)
+    assert got >= d and (got == d or d > band)
+    assert path_cost(a, b, 2 * n) >= d
+    assert similar(a, b, least) == (not n or 1 - d / n >= least - 1e-12)
+
+
 def test_similarity():
     a = list(range(1000))
     b = a[:100] + [-1] * 50 + a[150:900] + a[950:]
