@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .state import col
+from .state import col, give_back
 from .tokens import encoder
 
 _SLICE = 1 << 16
@@ -56,8 +56,9 @@ def unpack(packed: bytes, bits: int, start: int, count: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str | None, end_id: int, doc_id: str = "doc_id", text: str = "text", shards: int | None = None, block_ids: int = 1 << 16) -> None:
     """Encode every whole text, append end_id, and write the ids in ascending doc_id order.
 
-    Null ids come first; rows of equal id are ordered by text, nulls first, and each is kept. A null or empty text is
-    end_id alone. A block closes at block_ids ids; a longer document has a block of its own. No rows: no blocks.
+    Null ids come first; rows of equal id are ordered by the hash of their texts, and each is kept: an id that many rows have is
+    spread over shards like any other stretch of the order. A null or empty text is end_id alone. Texts are encoded whole, however
+    long. A block closes at block_ids ids; a longer document has a block of its own. No rows: no blocks. Other columns aren't read.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -93,22 +94,50 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str | None, e
                 held += len(ids)
         if open_docs:
             yield close(id_kind)
+        give_back()
 
-    ordered = docs.select(col(doc_id).alias("d"), col(text).alias("t")).repartitionByRange(shards, "d").sortWithinPartitions("d", "t")
+    rows = docs.select(col(doc_id).alias("d"), col(text).alias("t"), F.xxhash64(col(text)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(shards, "d", "h", "row").sortWithinPartitions("d", "h", "row").select("d", "t")
     ordered.mapInArrow(blocks, schema).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
+def _shard_starts(blocks: DataFrame) -> tuple[dict[int, int], int]:
+    """How many ids stand before each shard, and in all, from one number a shard, of which there are as many as write_tokens() was told."""
+    starts, total = {}, 0
+    for r in sorted(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):
+        starts[r["shard"]], total = total, total + r["n"]
+    return starts, total
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): ids start to stop - 1 of the whole file, 4 bytes each, little-endian, a row a block that holds any, by the offsets alone.
+
+    Of the blocks' columns only offsets are read but where they overlap the range, and of these only the bytes in it are unpacked.
+    """
+    blocks = spark.read.parquet(path)
+    starts, _ = _shard_starts(blocks)
+    # shards beyond the range are never opened; of each one within, the first and last place in it
+    ends = dict(zip(starts, [*list(starts.values())[1:], float("inf")], strict=False))
+    here = [F.when((F.col("shard") == s), (F.col("before") < stop - at) & (F.col("before") + F.col("n_ids") > start - at)) for s, at in starts.items() if at < stop and ends[s] > start]
+    found = blocks.where(F.coalesce(*here, F.lit(False))) if here else blocks.where("false")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, before, n_ids, bits, packed = (batch.column(c)[k].as_py() for c in ("shard", "before", "n_ids", "bits", "packed"))
+                at = starts[shard] + before
+                a, z = max(start - at, 0), min(stop - at, n_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([at + a], pa.int64()), pa.array([unpack(packed, bits, a, z - a).tobytes()], pa.binary())], names=["start", "ids"])
+
+    return found.select("shard", "before", "n_ids", "bits", "packed").mapInArrow(parts, "start bigint, ids binary")
+
+
 def read_tokens(spark: SparkSession, path: str, doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
     """One row per document from the blocks alone: doc_id, start (ids before it in the whole file), n_tokens, and ids
     (4 bytes each, little-endian) or with digest their ids_crc32.
-
-    Where each shard starts is summed from one number a shard, of which there are as many as write_tokens() was told.
     """
     blocks = spark.read.parquet(path)
-    sums = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
-    starts, total = {}, 0
-    for shard, n in sums:
-        starts[shard], total = total, total + n
+    starts, _ = _shard_starts(blocks)
     id_type = blocks.schema["doc_ids"].dataType.elementType
     last = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())
     schema = T.StructType([T.StructField(doc_id, id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), last])

@@ -44,6 +44,8 @@ def _shown_bytes() -> dict[int, str]:
 class _Pieces(dict):
     """Piece -> ids; learns what it hasn't met."""
 
+    held = 0  # bytes, about
+
     def __init__(self, learn):
         super().__init__()
         self.learn = learn
@@ -53,17 +55,25 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes of 4-byte numbers. Memory holds at most about `limit` pieces."""
+    """Ids of whole texts as little-endian bytes of 4-byte numbers, as Tokenizer.encode(text, add_special_tokens=False) gives them.
+
+    specials: names of special tokens in a text are those tokens, as is the library's default; otherwise they are text. Each of
+    three memories of pieces holds about `limit` bytes and starts anew beyond.
+    """
 
-    def __init__(self, path: str, kind: str | None, limit: int = 600_000):
+    def __init__(self, path: str, kind: str | None, limit: int = 24 << 20, specials: bool = True):
         if kind not in (*KINDS, None):
             raise ValueError(f"kind is one of {KINDS} or None")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
         self.kind, self.limit = kind, limit
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.merges, self.shown = self.tokenizer.model, _shown_bytes()
         self.pieces, self.heads, self.marks = _Pieces(self._learn_piece), _Pieces(self._learn_head), _Pieces(self._learn_marks)
+        # a text that may hold one of these isn't cut
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if kind else []
+        self.first = sorted({c for n in names for c in (n[0].lower(), n[0].upper())})
+        self.named = re.compile("|".join(map(re.escape, names)), re.IGNORECASE)
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,7 +83,7 @@ class Encoder:
         shown = word.encode().decode("latin-1").translate(self.shown)
         return np.array([t.id for t in self.merges.tokenize(shown)], "<u4").tobytes()
 
-    def _learn(self, memory: dict, piece: str, blank: str) -> bytes:
+    def _learn(self, memory: _Pieces, piece: str, blank: str) -> bytes:
         if m := _PLAIN.fullmatch(piece):
             word, marks = m.groups()
             ids = memory[word] + self.marks[marks] if marks else self._word(blank + word if self.kind == "byte" else word.lower())
@@ -83,11 +93,13 @@ class Encoder:
             ids = self._raw(blank + piece)
         return self._keep(memory, piece, ids)
 
-    def _keep(self, memory: dict, piece: str, ids: bytes) -> bytes:
-        if len(memory) >= self.limit:
-            memory.clear()
+    def _keep(self, memory: _Pieces, piece: str, ids: bytes) -> bytes:
         if len(piece) < 200:
+            if memory.held >= self.limit:
+                memory.clear()
+                memory.held = 0
             memory[piece] = ids
+            memory.held += 200 + 2 * len(piece) + len(ids)
         return ids
 
     def _learn_piece(self, piece: str) -> bytes:
@@ -102,6 +114,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(c in text for c in self.first) and self.named.search(text):
+            return self._raw(text)
         if self.kind == "byte":
             pieces = _cut(text)
             first = self.heads[pieces[0]]
