@@ -12,6 +12,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .state import col, materialise
+from .state import col, give_back, materialise
 from .tokens import encoder
 
 #: A filling (lengths in descending order) and how many bins have it.
@@ -71,82 +72,115 @@ def _fits(small: tuple[int, ...], rooms: list[int]) -> bool:
     return False
 
 
-def fillings(counts: Counter, lengths: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room, least waste first: none whose documents another one of them could hold in place
-    of its own. Search is depth first, largest documents first, and stops when `most` are known or room is met exactly."""
-    found: list[tuple[int, ...]] = []
-    steps = 0
+def fillings(counts: Counter, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of room, least waste first, largest documents first among equals.
 
-    def extend(chosen: tuple[int, ...], at: int, left: int) -> bool:
-        nonlocal steps
-        steps += 1
-        if left == 0:
-            found.append(chosen)
-            return True
-        # the exact remainder, if it is there, dominates everything else
-        if (not chosen or left <= chosen[-1]) and counts[left] > chosen.count(left):
-            found.append((*chosen, left))
-            return True
-        deeper = False
-        for k in range(at, len(lengths)):
+    Which sums the documents from any place on can reach is a bit row each, so no step of the enumeration is in vain. A
+    filling that another document fits beside is dominated by the two together. So is one whose documents an earlier
+    filling could hold in place of its own; that is tested among short ones only, as it is dear, and where it isn't, dominated
+    fillings come, too: they cost time, no solution.
+    """
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    reach, whole = [1], (1 << (room + 1)) - 1
+    for x in reversed(lengths):
+        bits, left, step = reach[-1], min(counts[x], room // x), 1
+        while left:
+            step = min(step, left)
+            bits |= (bits << (x * step)) & whole
+            left, step = left - step, 2 * step
+        reach.append(bits)
+    reach.reverse()
+
+    def of(k: int, need: int) -> Iterator[tuple[int, ...]]:
+        if not need:
+            yield ()
+            return
+        while reach[k] >> need & 1:  # something from k on makes up need
             x = lengths[k]
-            if x > left or counts[x] <= chosen.count(x):
-                continue
-            deeper = True
-            if extend((*chosen, x), k, left - x):
-                return True
-            if len(found) >= most or steps > 40 * most:
-                break
-        if not deeper:
-            found.append(chosen)
-        return False
-
-    extend((), 0, room)
-    found.sort(key=lambda f: (-sum(f), len(f)))
+            for n in range(min(counts[x], need // x), 0, -1):
+                if reach[k + 1] >> (need - n * x) & 1:
+                    for rest in of(k + 1, need - n * x):
+                        yield (x,) * n + rest
+            k += 1
+            if k == len(lengths):
+                return
+
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(k) <= 6 and len(f) <= 8 and _fits(f, list(k)) for k in kept):
-            kept.append(f)
-    return kept
+    for total in range(room, -1, -1):
+        if not reach[0] >> total & 1:
+            continue
+        for f in of(0, total):
+            if total < room:
+                uses = Counter(f)
+                if any(x <= room - total and counts[x] > uses[x] for x in reversed(lengths)):
+                    continue
+                if len(f) <= 8 and any(_fits(f, list(k)) for k in kept):
+                    continue
+            if len(f) <= 6 and len(kept) < 64:
+                kept.append(f)
+            yield f
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: by the sum of lengths, and by documents of more than half a bin."""
+    return max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
 
 
-def complete_bins(counts: dict[int, int], capacity: int, branches: int = 6, nodes: int = 6000) -> list[Pattern]:
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[Pattern]:
     """Pack counts[length] documents of each length into few bins of capacity.
 
     Branch and bound over the largest document left: its undominated fillings are tried, least waste first, each for as
     many bins at once as the counts allow; a branch ends when its waste is above what one bin less than the incumbent
-    leaves. The incumbent is the best-fit packing at first. It ends when the incumbent meets the lower bound, or after
-    `nodes` nodes, with the incumbent. Without documents there are no bins.
+    leaves. The incumbent is the best-fit packing at first. It ends when the incumbent meets lower_bound(), when all is tried, or
+    after `nodes` nodes, the one budget there is, with the incumbent. The search goes back step by step: a node is held as the
+    filling it took and how many came before it, so that no open branch is given up for want of memory. Without documents
+    there are no bins.
     """
     counts = {k: n for k, n in counts.items() if n}
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError("a length is 1 to capacity")
     total = sum(k * n for k, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     held = sum(n for _, n in best)
-    stack = [(Counter(counts), 0, [])]  # what is left, its waste so far, its patterns
-    while stack and held > bound and nodes:
+    left, waste = Counter(counts), 0
+    taken: list[tuple[tuple[int, ...], int, int]] = []  # filling, for how many bins, which one of its node's
+
+    def options() -> Iterator[tuple[int, ...]]:
+        top = max(left)
+        rest = Counter(left)
+        rest[top] -= 1
+        return ((top, *f) for f in fillings(rest, capacity - top))
+
+    def take(whole: tuple[int, ...], sign: int, times: int) -> None:
+        nonlocal waste
+        waste += sign * times * (capacity - sum(whole))
+        for x, n in Counter(whole).items():
+            left[x] -= sign * n * times
+            if not left[x]:
+                del left[x]
+
+    at = 0  # the filling of the present node to be tried next
+    while held > bound and nodes:
         nodes -= 1
-        left, waste, done = stack.pop()
-        if waste > (held - 1) * capacity - total:
-            continue
+        whole = None
         if not left:
-            best, held = done, sum(n for _, n in done)
-            continue
-        lengths = sorted(left, reverse=True)
-        top = lengths[0]
-        left[top] -= 1
-        options = fillings(left, [x for x in lengths if left[x]], capacity - top, branches)
-        left[top] += 1
-        for f in reversed(options[:branches]):
-            whole = (top, *f)
-            uses = Counter(whole)
-            times = min(left[x] // n for x, n in uses.items())
-            rest = Counter({x: n - times * uses[x] for x, n in left.items() if n > times * uses[x]})
-            stack.append((rest, waste + times * (capacity - sum(whole)), [*done, (whole, times)]))
-        if len(stack) > 4 * branches * 100:
-            stack = stack[-400:]
+            if waste <= (held - 1) * capacity - total:
+                best = [(f, n) for f, n, _ in taken]
+                held = sum(n for _, n in best)
+        elif waste <= (held - 1) * capacity - total:
+            whole = next(islice(options(), at, None), None)
+        if whole is not None:
+            times = min(left[x] // n for x, n in Counter(whole).items())
+            take(whole, 1, times)
+            taken.append((whole, times, at))
+            at = 0
+        elif taken:
+            whole, times, at = taken.pop()
+            take(whole, -1, times)
+            at += 1
+        else:
+            break
     return best
 
 
@@ -202,6 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str | None, end_id: in
                     met[z - a] += 1
             kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if keep_ids else []), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=schema.names)
+        give_back()
 
     # written once: encoding is the costly part, and ranks must stay as they are when a task is run again
     cut = materialise(docs.select(col(doc_id), col(text)).mapInArrow(pieces, schema), "pieces")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,16 +12,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from hexaloom.llm.packing import best_fit, complete_bins, pack_documents
-from hexaloom.llm.tokenfile import pack, read_tokens, unpack, width, write_tokens
+from hexaloom.llm.packing import _fits, best_fit, complete_bins, fillings, lower_bound, pack_documents
+from hexaloom.llm.tokenfile import pack, read_range, read_tokens, unpack, width, write_tokens
 from hexaloom.llm.tokens import Encoder
 
 FILES = {"byte": public_tokenizers.path("byte_bpe_50k.json"), "word": public_tokenizers.path("word_bpe_49k.json")}
-KNOWN = {k: Encoder(f, k, limit=50) for k, f in FILES.items()}
+KNOWN = {k: Encoder(f, k, limit=10_000) for k, f in FILES.items()}
 PLAIN = {k: Tokenizer.from_file(f) for k, f in FILES.items()}
-for t in PLAIN.values():
-    t.encode_special_tokens = True
-ODD = ["", "a  b", "  a", "a ", "\n", "a\n b", "a \nb", "a\n\n  b c", "it's  he'll 'tis don't", "x' s", "ΑΣ ΣΑΣ. İstanbul", "é ́ x", "a\x1cb c\x85d", "12 34a a12, 5%", "<|endoftext|> y", "a b  c", "日本 語。", "_a_ a_b -- x--", "ﬁ ǅ", "the,\nThe. the, THE", "a!b! 'a 's"]
+ODD = ["", "a  b", "  a", "a ", "\n", "a\n b", "a \nb", "a\n\n  b c", "it's  he'll 'tis don't", "x' s", "ΑΣ ΣΑΣ. İstanbul", "é ́ x", "a\x1cb c\x85d", "12 34a a12, 5%", "<|endoftext|> y", "a<|endoftext|>b <|startoftext|>", "x <|EndOfText|> y\n<|endoftext|", "1 < 2 <| x", "a b  c", "日本 語。", "_a_ a_b -- x--", "ﬁ ǅ", "the,\nThe. the, THE", "a!b! 'a 's"]
 TEXT = st.text(st.sampled_from(list("aAéÉñ ,.'\n\t 19_-! 日́")), max_size=40)
 
 
@@ -39,6 +40,16 @@ def test_odd_texts(kind):
     assert KNOWN[kind].encode(None) == b""
     with pytest.raises(ValueError):
         Encoder(FILES[kind], "other")
+    spelt = Encoder(FILES[kind], kind, specials=False)
+    last = PLAIN[kind].token_to_id("<|endoftext|>")
+    assert last in ids(kind, "a <|endoftext|>") and last not in np.frombuffer(spelt.encode("a <|endoftext|>"), "<u4")
+
+
+def test_memory_is_bounded_by_bytes():
+    e = Encoder(FILES["byte"], "byte", limit=100_000)
+    for i in range(5000):
+        e.encode(f"q{i}z word{i * 7} x")
+        assert max(m.held for m in (e.pieces, e.heads, e.marks)) < 101_000
 
 
 @settings(max_examples=100, deadline=None)
@@ -64,7 +75,8 @@ def test_token_file_round_trip(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     path = f"file://{tmp_path}/t"
     write_tokens(docs, path, FILES["word"], "word", 2, shards=3, block_ids=64)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     expected, start = [], 0
     for d, t, _ in order:
         x = np.array([*ids("word", t or ""), 2], "<u4")
@@ -72,11 +84,22 @@ def test_token_file_round_trip(spark, tmp_path):
         start += len(x)
     got = [tuple(r) for r in read_tokens(spark, path, digest=True).collect()]
     assert sorted(got, key=lambda r: r[1]) == expected
+    whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in read_tokens(spark, path).orderBy("start").collect()])
+    for a, z in ((0, 1), (100, 700), (0, len(whole)), (len(whole) - 3, len(whole) + 9), (5, 5), (len(whole), len(whole) + 4)):
+        parts = read_range(spark, path, a, z).orderBy("start").collect()
+        assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in parts] or [whole[:0]]).tolist() == whole[a:z].tolist()
+        assert not parts or parts[0].start == a
     full = read_tokens(spark, path).orderBy("start").first()
     assert np.frombuffer(full.ids, "<u4").tolist() == [*ids("word", order[0][1] or ""), 2]
     assert spark.read.parquet(path).selectExpr("max(bits)", "count(*) > 3").first()[:] == (16, True)
     write_tokens(docs.limit(0), f"{path}0", FILES["word"], "word", 2, shards=2)
-    assert read_tokens(spark, f"{path}0").count() == 0
+    assert read_tokens(spark, f"{path}0").count() == 0 and read_range(spark, f"{path}0", 0, 9).count() == 0
+    # one id in most rows: no part holds them all
+    same = spark.range(400).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    write_tokens(same, f"{path}1", FILES["word"], "word", 2, shards=4, block_ids=64)
+    sizes = [r[0] for r in spark.read.parquet(f"{path}1").selectExpr("shard", "size(doc_ids) AS n").groupBy("shard").sum("n").select("sum(n)").collect()]
+    assert len(sizes) == 4 and sum(sizes) == 400 and max(sizes) < 250
+    assert read_tokens(spark, f"{path}1").count() == 400
 
 
 def optimum(lengths, capacity):
@@ -109,6 +132,29 @@ def test_bins_are_as_few_as_can_be(lengths):
     assert sum(n for _, n in complete_bins(counts, 20)) == optimum(lengths, 20)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.integers(1, 20))
+def test_fillings_leave_out_dominated_ones_only(lengths, room):
+    counts = Counter(lengths)
+    got = list(fillings(counts, room))
+    assert len(set(got)) == len(got) and [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+    assert all(not Counter(f) - counts and list(f) == sorted(f, reverse=True) for f in got)
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(lengths) + 1) for c in combinations(lengths, n) if sum(c) <= room}
+    assert set(got) <= every
+    for f in every:
+        assert any(_fits(f, list(k)) for k in got)
+    for f in got:
+        assert all(sum(f) + x > room for x in counts - Counter(f))
+
+
+def test_search_goes_on_beyond_many_lengths():
+    rng = random.Random(3)
+    counts = Counter(rng.randint(300, 1100) for _ in range(400))
+    patterns = complete_bins(counts, 2048, nodes=800)
+    assert sum((Counter({x: n * f.count(x) for x in set(f)}) for f, n in patterns), Counter()) == counts
+    assert lower_bound(counts, 2048) <= sum(n for _, n in patterns) <= sum(n for _, n in best_fit(counts, 2048))
+
+
 def test_completion_beats_best_fit():
     counts = {7: 2, 6: 2, 4: 2, 3: 2}  # best fit decreasing: 7+3, 7+3, 6+4, 6+4
     assert sum(n for _, n in complete_bins(counts, 10)) == 4
