@@ -22,7 +22,7 @@ BASE = {
 }
 WEAK = {
     "identifier": (r"""(?i)\b(?:user_?name|user_?id|login|account_?id|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", None, None, "identifier"),
-    "secret": (r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,200}[0-9])(?=[A-Za-z0-9+/]{0,200}[A-Z])(?=[A-Za-z0-9+/]{0,200}[a-z])[A-Za-z0-9+/]{32,}={0,2}", None, None, "secret"),
+    "secret": (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}", None, r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", "secret"),
     "endpoint": (r"""(?i)\b(?:https?|ftps?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}""", None, None, "endpoint"),
 }
 KINDS = {**BASE, **WEAK}
@@ -98,10 +98,10 @@ def redact_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Spans find their documents again by id and hash of the text, which need not be unique: equal rows have equal spans.
     """
-    keyed = docs.select(col(doc_id).alias("__id"), F.xxhash64(col(text)).alias("__hash"), F.octet_length(col(text)).alias("__size"), col(text).alias("__text"))
-    found = find_secrets(keyed, "__text", ["__id", "__hash", "__size"], scope).where(F.size("spans") > 0)
-    found = found.groupBy("__id", "__hash", "__size").agg(F.first("spans").alias("__spans"))
-    t = col(text)
+    id_, hash_, size = col(doc_id).alias("id"), F.xxhash64(col(text)).alias("hash"), F.octet_length(col(text)).alias("size")
+    found = find_secrets(docs.select(id_, hash_, size, col(text).alias("t")), "t", ["id", "hash", "size"], scope).where(F.size("spans") > 0)
+    found = found.groupBy("id", "hash", "size").agg(F.first("spans").alias("found")).select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), F.col("size").alias("f_size"), "found")
+    t = F.col("t")
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -110,7 +110,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return F.when(s.stop <= acc.pos, acc).otherwise(longer)
 
     rest = lambda acc: F.concat(acc.out, F.substring(t, (acc.pos + 1).cast("int"), F.length(t)))
-    same = col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(t) == F.col("__hash")) & (F.octet_length(t) == F.col("__size"))
-    joined = docs.join(found, same, "left")
-    clean = F.when(F.col("__spans").isNull(), t).otherwise(F.aggregate("__spans", start, step, rest))
-    return joined.select(*[clean.alias(c) if c == text else col(c) for c in docs.columns])
+    # docs' own columns ride in a struct, so that none of them can clash with these
+    there = docs.select(F.struct(*map(col, docs.columns)).alias("row"), id_, hash_, size, col(text).alias("t"))
+    joined = there.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash")) & F.col("size").eqNullSafe(F.col("f_size")), "left")
+    clean = F.when(F.col("found").isNull(), t).otherwise(F.aggregate("found", start, step, rest))
+    return joined.select(*[clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 
-from hexaloom.llm.secrets import BASE, find_secrets, redact_secrets, spans_text
+from hexaloom.llm.secrets import BASE, COMPLEMENTS, find_secrets, redact_secrets, spans_text
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 TEXTS = {
@@ -40,6 +41,51 @@ def test_spans(spark, docs):
     assert find_secrets(docs.limit(0)).count() == 0
 
 
+WEAK = {
+    "identifier": re.compile(r"""\b(user_?name|user_?id|login|account_?id|client_?id|access_?key(_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}"),
+    "endpoint": re.compile(r"""\b(https?|ftps?|jdbc:[a-z0-9]+|postgres(ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|\b(host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,}""", re.I | re.A),
+}
+
+
+def linked(text, scope=300):
+    """All spans, by comparing every weak part with every other part."""
+    sure = [(int(a), k, int(z)) for k, a, z in (s.split(":") for s in base(text).split(",") if s)]
+    weak = [(m.start(), k, m.end()) for k, p in WEAK.items() for m in p.finditer(text)]
+    weak = [w for w in weak if w[1] != "secret" or all(re.search(c, text[w[0] : w[2]]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    free = [w for w in weak if not any(w[0] < z and a < w[2] for a, _, z in sure)]
+    plays = {"assign": "secret", "access": "identifier", "hex": None} | {k: k for k in WEAK}
+    told = [w for w in free if any(plays[k] in COMPLEMENTS[w[1]] and abs(a - w[0]) <= scope for a, k, _ in sure + free)]
+    order = ["assign", "access", "hex", *WEAK]
+    return ",".join(f"{k}:{a}:{z}" for a, k, z in sorted(sure + told, key=lambda s: (s[0], order.index(s[1]))))
+
+
+def test_links_equal_brute_force(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    parts = [
+        lambda: "userid=" + some(5), lambda: "client_id: '" + some(9), lambda: "password=" + some(14), lambda: "token: " + some(5), lambda: "AKIA" + some(16).upper(),
+        lambda: "https://" + some(6) + ".org/x", lambda: "host=" + some(7), lambda: some(rng.randint(30, 48)), lambda: "a" * 260 + "B7", lambda: "%016x" % rng.getrandbits(64),
+    ]
+    texts = []
+    for _ in range(300):
+        texts.append(" ".join(rng.choice(parts)() + " " + "word " * rng.choice([0, 0, 3, 30, 58, 62]) for _ in range(rng.randint(1, 7))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = find_secrets(docs)
+    got = {r.doc_id: r.spans for r in found.select("doc_id", spans_text(found.spans).alias("spans")).collect()}
+    expected = {i: linked(t) for i, t in enumerate(texts)}
+    assert got == expected
+    weak = [s for e in expected.values() for s in e.split(",") if s.split(":")[0] in WEAK]
+    assert len(weak) > 200 and "secret" in {s.split(":")[0] for s in weak}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl", 5, "r", "f", 2)], "doc_id long, text string, id int, row string, found string, t int")
+    assert redact_secrets(docs).first()[:] == (1, "[secret]", 5, "r", "f", 2)
+    assert find_secrets(docs).drop("spans").first()[:] == (1, 5, "r", "f", 2, 1, 0, 0)
+
+
 def test_redaction(spark, docs):
     rows = {r.doc_id: r for r in redact_secrets(docs).collect()}
     assert redact_secrets(docs).columns == docs.columns
