@@ -22,24 +22,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import col, others
+from .state import col, give_back, others
 from .words import WORD_BYTES, as_bytes, words
 
 _BEGINNINGS = range(4, 10)
 _WINDOW = 24
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: First bytes and ranges, in UTF-8, of scripts that are written without blanks between words (Thai to Tibetan, Burmese, Khmer,
+#: Chinese and Japanese): there each letter is a word.
+_ALONE = rb"\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe2[\xba-\xbf][\x80-\xbf]|[\xe3-\xe9][\x80-\xbf]{2}|\xef[\xbc-\xbf][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+_WORD = re.compile(rb"(?:" + _ALONE + rb")|(?:(?!" + _ALONE + rb")[0-9a-z\x80-\xff])+")
+_COMMON = bytes(b for b in range(256) if b not in (*range(0xE0, 0xEA), 0xEF, 0xF0))
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    """words(), but that letters of scripts without blanks stand each for itself."""
+    if not text or not text.translate(None, _COMMON):
+        return words(text)
+    return _WORD.findall(text.translate(WORD_BYTES))
 
 
 def word_features(word: bytes) -> list[str]:
     """The word itself and its beginnings of 4 to 9 letters, by code points."""
     w = word.decode("utf-8", "replace")
-    return ["=" + w[:40], *(w[:k] for k in _BEGINNINGS if len(w) > k)]
+    return ["=" + w, *(w[:k] for k in _BEGINNINGS if len(w) > k)]
 
 
 def _feature(word: bytes, k: int) -> str | None:
     """The feature of one length: 0 for the word itself."""
     w = word.decode("utf-8", "replace")
-    return "=" + w[:40] if not k else w[:k] if len(w) > k else None
+    return "=" + w if not k else w[:k] if len(w) > k else None
 
 
 @dataclass
@@ -53,11 +64,7 @@ class Field:
 
     def __post_init__(self):
         step = np.exp(self.moves) * np.array([1.0, math.exp(self.bias)])
-        powers = [np.eye(2)]
-        for _ in range(128):
-            nxt = powers[-1] @ step
-            powers.append(nxt / nxt.sum())
-        self.runs = [tuple(map(float, p.ravel())) for p in powers]
+        self.runs = _Powers(step)
         self.known: dict[bytes, float] = _Emissions(self.weights)
 
     def marginals(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +75,9 @@ class Field:
             return at, np.empty(0)
         (oo, ot), (to, tt) = np.exp(self.moves).tolist()
         gaps = np.diff(at, prepend=-1) - 1
-        tail = self.runs[min(len(text) - 1 - int(at[-1]), 128)]
+        tail = self.runs[len(text) - 1 - int(at[-1])]
         odds = np.exp(np.clip(emissions[at] + self.bias, -30, 30)).tolist()
-        runs = [self.runs[g] for g in np.minimum(gaps, 128).tolist()]
+        runs = [self.runs[g] for g in gaps.tolist()]
         ahead, c, x = [], 1.0, 0.0  # clean and toxic mass before each known word's emission
         for k, (a, b, d, e) in enumerate(runs):
             c, x = c * a + x * d, c * b + x * e
@@ -98,6 +105,29 @@ class Field:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+class _Powers(dict):
+    """n -> the n-th power of a matrix, over the sum of its entries, by squaring. Holds a bounded number of them."""
+
+    def __init__(self, step: np.ndarray):
+        super().__init__()
+        self.squares = [step / step.sum()]
+
+    def __missing__(self, n: int) -> tuple[float, ...]:
+        out, left, k = np.eye(2), n, 0
+        while left:
+            if k == len(self.squares):
+                twice = self.squares[-1] @ self.squares[-1]
+                self.squares.append(twice / twice.sum())
+            if left & 1:
+                out = out @ self.squares[k]
+                out = out / out.sum()
+            left, k = left >> 1, k + 1
+        if len(self) > 10_000:
+            self.clear()
+        self[n] = value = tuple(map(float, out.ravel()))
+        return value
+
+
 class _Emissions(dict):
     """Word -> sum of its features' weights, 0 if none is known. Holds a bounded number of words."""
 
@@ -107,9 +137,10 @@ class _Emissions(dict):
 
     def __missing__(self, word: bytes) -> float:
         value = float(sum(self.weights.get(f, 0.0) for f in word_features(word)))
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value
+        if len(word) < 200:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = value
         return value
 
     def __reduce__(self):
@@ -244,24 +275,30 @@ def _expected(emit: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[n
     return p, passes
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = 6000, text_bytes: int = 32 << 10) -> Field:
-    """Fit on a sample of about `rows` labelled rows (a third toxic, as far as there are any), none longer than text_bytes.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = 6000, total_bytes: int = 40 << 20) -> Field:
+    """Fit on a sample of about `rows` labelled rows (a third toxic, as far as there are any), of total_bytes of text at most.
 
     labels (doc_id, label) says 1 for toxic; rows without id, text or label are left out. Which rows are drawn depends on
-    the hashes of their ids alone, so the sample is found among the ids, and only its texts are fetched. The base rate is
-    counted over all labels. Without rows of both labels the score is the same low one for all texts.
+    the hashes of their ids alone, so the sample is found among the ids; texts of any length may be drawn, and are fetched in the
+    order of their hashes as far as total_bytes reach. The base rate is counted over all labels. Without rows of both labels the
+    score is the same low one for all texts.
     """
     known = labels.select(col(doc_id).alias("id"), (col(label) == 1).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     count = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return Field()
     share = {True: rows // 3 / count[True], False: (rows - rows // 3) / count[False]}
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "id"), 11) / F.lit(float(1 << 53))
-    drawn = known.where(chance < F.when(F.col("y"), share[True]).otherwise(share[False]))
-    texts = docs.select(col(doc_id).alias("d"), col(text).alias("t")).where((F.octet_length("t") <= text_bytes))
-    found = texts.join(F.broadcast(drawn), F.col("d") == F.col("id")).select("id", "t", "y").collect()  # about `rows` ids, whatever the table
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "id"), 11) / F.lit(float(1 << 53)) / F.when(F.col("y"), share[True]).otherwise(share[False])
+    drawn = known.select("id", "y", chance.alias("at")).where("at < 1")
+    texts = docs.select(col(doc_id).alias("d"), col(text).alias("t")).where("t IS NOT NULL")
+    joined = texts.join(F.broadcast(drawn), F.col("d") == F.col("id"))  # about `rows` ids, whatever the table
+    sizes = joined.select("at", F.octet_length("t").alias("n")).collect()
+    reach = np.cumsum([n for _, n in sorted(sizes)])
+    if len(reach) and reach[-1] > total_bytes:
+        joined = joined.where(F.col("at") < sorted(sizes)[int(np.searchsorted(reach, total_bytes, "right"))][0])
+    found = joined.select("id", "t", "y").collect()
     same: dict[bytes, bytes] = {}  # one object a word
-    sample = [([same.setdefault(w, w) for w in words(r["t"].encode())], r["y"], zlib.crc32(r["t"].encode()) % 10 < 3) for r in sorted(found, key=lambda r: (str(r["id"]), r["t"]))]
+    sample = [([same.setdefault(w, w) for w in _words(r["t"].encode())], r["y"], zlib.crc32(r["t"].encode()) % 10 < 3) for r in sorted(found, key=lambda r: (str(r["id"]), r["t"]))]
     del found, same
     model = _fit_chain([(w, y) for w, y, late in sample if not late])
     held = [(w, y) for w, y, late in sample if late] or [(w, y) for w, y, _ in sample]
@@ -295,13 +332,14 @@ def score_toxicity(docs: DataFrame, model: Field, text: str = "text", threshold:
         for texts in batches:
             out = []
             for t in as_bytes(texts).to_pylist():
-                w = words(t)
+                w = _words(t)
                 at, p = chain.marginals(w)
                 loud = p > sure
                 places = at[loud].tolist()
                 spans = [{"start": a, "stop": z, "p": q} for (a, z), q in zip(_offsets(t, set(places)), p[loud].tolist(), strict=True)] if places else []
                 out.append({"toxicity": chain.score(len(w), p), "toxic_spans": spans})
             yield pa.array(out, pa.struct([("toxicity", pa.float64()), ("toxic_spans", pa.list_(span))]))
+        give_back()
 
     kept = others(docs, ["toxicity", "toxic", "toxic_spans"])
     return docs.select(*map(col, kept), judge(col(text)).alias("__judged")).select(*map(col, kept), "__judged.toxicity", (F.col("__judged.toxicity") >= threshold).alias("toxic"), "__judged.toxic_spans")

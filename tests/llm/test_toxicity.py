@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from hexaloom.llm.toxicity import Field, fit_toxicity, score_toxicity, word_features
+from hexaloom.llm.toxicity import Field, _words, fit_toxicity, score_toxicity, word_features
 
 VOCABULARY = [a + b for a in ("ban", "tor", "mel", "kis", "rul") for b in ("do", "nam", "ite", "ser", "lu", "gaf")]
 
@@ -47,6 +47,44 @@ def test_marginals_equal_brute_force():
         assert np.allclose(p, (each / mass)[at])
 
 
+def test_long_runs_are_exact():
+    field = Field({"=bad": 2.0}, -1.5, np.array([[0.0, -0.2], [0.1, 1.2]]))
+    for gap in (0, 1, 127, 128, 129, 400):
+        text = [b"bad", *[b"x"] * gap, b"bad", *[b"y"] * 150]
+        step = np.exp(field.moves)
+        odds = [np.exp(field.bias + field.known[w]) for w in text]
+        ahead, now = [], np.array([1.0, 0.0])
+        for o in odds:
+            now = now @ step * np.array([1.0, o])
+            now /= now.sum()
+            ahead.append(now)
+        p, after = [], np.ones(2)
+        for k in range(len(text) - 1, -1, -1):
+            both = ahead[k] * after
+            p.append(both[1] / both.sum())
+            after = step @ (after * np.array([1.0, odds[k]]))
+            after /= after.sum()
+        at, got = field.marginals(text)
+        assert np.allclose(got, np.array(p[::-1])[at], atol=1e-9), gap
+
+
+def test_scripts_without_blanks_and_long_words():
+    assert _words("Één wörd 日本x語 คำ don’t".encode()) == [w.encode() for w in ("Één", "wörd", "日", "本", "x", "語", "ค", "ำ", "don’t")]
+    assert _words("plain Text, 1".encode()) == [b"plain", b"text", b"1"] and _words(None) == []
+    long = b"a" * 60
+    assert word_features(long)[0] == "=" + "a" * 60
+    field = Field({"=" + "a" * 60: 3.0}, -1.0)
+    assert field.marginals([long])[0].tolist() == [0] and not len(field.marginals([long[:50]])[0])
+
+
+def test_long_texts_are_drawn(spark):
+    rows = [(i, "ban tor " * 6000 + t, y) for i, t, y in corpus(60, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert fit_toxicity(df, df).weights
+    # one text at most fits here: nothing to learn from
+    assert not fit_toxicity(df, df, total_bytes=50_000).weights
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     labelled = spark.createDataFrame(corpus(1200, 1), "doc_id long, text string, toxic int")
