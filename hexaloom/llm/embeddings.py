@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .state import col, materialise
+from .state import col, materialise, salted_join, scratch, spread_join
 
 _BITS = 62
 
@@ -119,12 +119,12 @@ def _counted(members: DataFrame, least: float, block: int) -> DataFrame:
     """(uid, comp, linked): how many vectors of other nodes each node (uid, times, unit, comp) is linked with."""
     anchors = members.where("uid = comp").select(F.col("comp").alias("c"), F.col("unit").alias("anchor"))
     half = float(np.cos(np.arccos(least) / 2)) + 1e-9
-    sided = members.join(anchors, F.col("comp") == F.col("c")).select("uid", "times", "unit", "comp", (_cosine("unit", "anchor") >= half).alias("core"))
+    sided = salted_join(members, anchors, F.col("comp") == F.col("c"), "uid", 8).select("uid", "times", "unit", "comp", (_cosine("unit", "anchor") >= half).alias("core"))
     sided = materialise(sided, "sides")
     sizes = sided.groupBy("comp").agg(F.sum(F.when(F.col("core"), F.col("times"))).alias("weight"), F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_fringe"))
     sizes = sizes.select(F.col("comp").alias("c"), "weight", F.ceil(F.col("n_core") / block).cast("int").alias("nh"), F.ceil(F.col("n_fringe") / block).cast("int").alias("ns"))
 
-    rows = sided.join(sizes.where("ns > 0"), F.col("comp") == F.col("c"))
+    rows = salted_join(sided, sizes.where("ns > 0"), F.col("comp") == F.col("c"), "uid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), F.when(F.col("core"), F.col("nh")).otherwise(F.col("ns"))).cast("int"))
     span = lambda n: F.sequence(F.lit(0), n - 1)
     member = lambda b: F.struct("uid", "times", "unit", b.alias("block"))
@@ -139,7 +139,7 @@ def _counted(members: DataFrame, least: float, block: int) -> DataFrame:
     groups = groups.where((F.col("kind") == 1) | (F.size(F.array_distinct(F.transform("ms", lambda m: m.block))) > 1))
     groups = groups.where((F.col("kind") == 0) | (F.col("i") == F.col("j")) | (F.size(F.array_distinct(F.transform("ms", lambda m: m.block))) > 1))
     beside = groups.select(F.explode(_counter(least)("ms")).alias("l")).groupBy(F.col("l.uid").alias("u")).agg(F.sum("l.linked").alias("beside"))
-    full = sided.join(sizes.select("c", "weight"), F.col("comp") == F.col("c")).join(beside, F.col("uid") == F.col("u"), "left")
+    full = salted_join(sided, sizes.select("c", "weight"), F.col("comp") == F.col("c"), "uid").join(beside, F.col("uid") == F.col("u"), "left")
     return full.select("uid", "comp", (F.when(F.col("core"), F.col("weight") - F.col("times")).otherwise(F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("linked"))
 
 
@@ -225,93 +225,97 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows count as vectors of their own. Other columns aren't read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    keyed = _keyed(passes, seed)
-    rows = vectors.select(col(vec_id).alias("id"), col(label).alias("label"), keyed(col(embedding), col(label).cast("string")).alias("k")).select("id", "label", "k.*")
-    rows = materialise(rows, "keyed")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
-    nodes = materialise(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
-
-    # exact ranks within (pass, label, dim): sort once by range, number within tasks, add what earlier tasks hold
-    group = ["pass", "label", "dim"]
-    entries = nodes.select(F.posexplode("keys").alias("pass", "key"), "label", "dim", "uid")
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartitionByRange(n_tasks, *group, "key", "uid").sortWithinPartitions(*group, "key", "uid")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, current, n = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            places = []
-            for g in zip(*(batch.column(c).to_pylist() for c in group), strict=True):
-                n = n + 1 if g == current else 0
-                current = g
-                places.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*group, "uid")), pa.array([task] * len(places), pa.int32()), pa.array(places, pa.int64())], names=[*group, "uid", "task", "place"])
-
-    schema = entries.select(*group, "uid").withColumn("task", F.lit(0)).withColumn("place", F.lit(0).cast("long")).schema
-    ranks = materialise(ordered.mapInArrow(numbered, schema), "ranks")
-    before = ranks.groupBy(*group, "task").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = ranks.join(before.drop("n"), [*group, "task"]).select(*group, "uid", (F.col("before") + F.col("place")).alias("rank"))
-
-    # each span of ranks also gets the window before it
-    spans = ranked.select(*group, "uid", "rank", F.floor(F.col("rank") / span).alias("at"))
-    late = F.col("rank") % span >= span - window
-    spans = spans.select(*group, "uid", "rank", F.explode(F.when(late, F.array("at", F.col("at") + 1)).otherwise(F.array("at"))).alias("span"))
-    held = spans.join(nodes.select("uid", "unit"), "uid")
-    keys = [*group, "span"]
-    dealt = held.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "rank").select(*keys, "rank", "uid", "unit")
-    block = max(1, window // 2)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids: np.ndarray, old: int, vectors: np.ndarray) -> pa.RecordBatch | None:
-            """A forest of the links between the places from old on and all places before or among them."""
-            i, j = np.nonzero(vectors[old:] @ vectors.T >= least)
-            i = i + old
-            i, j = i[j < i], j[j < i]
-            root = _roots(len(ids), i, j)
-            at = np.flatnonzero(root != np.arange(len(ids)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"]) if len(at) else None
-
-        current, ids, units, fresh = None, [], [], 0
-
-        def flush() -> pa.RecordBatch | None:
-            nonlocal ids, units, fresh
-            out = found(np.array(ids, np.int64), len(ids) - fresh, np.array(units)) if fresh else None
-            keep = 2 * block
-            ids, units, fresh = ids[-keep:], units[-keep:], 0
-            return out
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*keys, "rank", "uid", "unit")]
-            for *g, rank, uid, u in zip(*columns, strict=True):
-                if g != current:
-                    if (out := flush()) is not None:
-                        yield out
-                    current, ids, units = g, [], []
-                ids.append(uid)
-                units.append(np.frombuffer(u, np.float64))
-                if rank // span == g[3]:  # else it is the window before the span, compared in the span before
-                    fresh += 1
-                    if fresh == block:
+    with scratch(spark) as tables:
+        keyed = _keyed(passes, seed)
+        rows = vectors.select(col(vec_id).alias("id"), col(label).alias("label"), keyed(col(embedding), col(label).cast("string")).alias("k")).select("id", "label", "k.*")
+        rows = materialise(rows, "keyed")
+        nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
+        nodes = materialise(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+
+        # exact ranks within (pass, label, dim): sort once by range, number within tasks, add what earlier tasks hold
+        group = ["pass", "label", "dim"]
+        entries = nodes.select(F.posexplode("keys").alias("pass", "key"), "label", "dim", "uid")
+        n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = entries.repartitionByRange(n_tasks, *group, "key", "uid").sortWithinPartitions(*group, "key", "uid")
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, current, n = TaskContext.get().partitionId(), None, 0
+            for batch in batches:
+                places = []
+                for g in zip(*(batch.column(c).to_pylist() for c in group), strict=True):
+                    n = n + 1 if g == current else 0
+                    current = g
+                    places.append(n)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*group, "uid")), pa.array([task] * len(places), pa.int32()), pa.array(places, pa.int64())], names=[*group, "uid", "task", "place"])
+
+        schema = entries.select(*group, "uid").withColumn("task", F.lit(0)).withColumn("place", F.lit(0).cast("long")).schema
+        ranks = materialise(ordered.mapInArrow(numbered, schema), "ranks")
+        before = ranks.groupBy(*group, "task").agg(F.count("*").alias("n"))
+        before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranked = ranks.join(before.drop("n"), [*group, "task"]).select(*group, "uid", (F.col("before") + F.col("place")).alias("rank"))
+
+        # each span of ranks also gets the window before it
+        spans = ranked.select(*group, "uid", "rank", F.floor(F.col("rank") / span).alias("at"))
+        late = F.col("rank") % span >= span - window
+        spans = spans.select(*group, "uid", "rank", F.explode(F.when(late, F.array("at", F.col("at") + 1)).otherwise(F.array("at"))).alias("span"))
+        held = spans.join(nodes.select("uid", "unit"), "uid")
+        keys = [*group, "span"]
+        dealt = held.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "rank").select(*keys, "rank", "uid", "unit")
+        block = max(1, window // 2)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def found(ids: np.ndarray, old: int, vectors: np.ndarray) -> pa.RecordBatch | None:
+                """A forest of the links between the places from old on and all places before or among them."""
+                i, j = np.nonzero(vectors[old:] @ vectors.T >= least)
+                i = i + old
+                i, j = i[j < i], j[j < i]
+                root = _roots(len(ids), i, j)
+                at = np.flatnonzero(root != np.arange(len(ids)))
+                return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]])], names=["a", "b"]) if len(at) else None
+
+            current, ids, units, fresh = None, [], [], 0
+
+            def flush() -> pa.RecordBatch | None:
+                nonlocal ids, units, fresh
+                out = found(np.array(ids, np.int64), len(ids) - fresh, np.array(units)) if fresh else None
+                keep = 2 * block
+                ids, units, fresh = ids[-keep:], units[-keep:], 0
+                return out
+
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in (*keys, "rank", "uid", "unit")]
+                for *g, rank, uid, u in zip(*columns, strict=True):
+                    if g != current:
                         if (out := flush()) is not None:
                             yield out
-        if (out := flush()) is not None:
-            yield out
-
-    reach = components(dealt.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
-    # groups that no window holds whole
-    large = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block).select("label", "dim")
-    large = materialise(large, "large")
-    if large.limit(1).count():
-        reached = nodes.select("uid", "label", "dim", "unit").join(reach, F.col("uid") == F.col("r_uid"), "left")
-        more = materialise(_crossing(reached.withColumn("comp", F.coalesce("comp", "uid")), large, least, 2 * window), "crossing")
-        if more.limit(1).count():
-            reach = components(reach.select(F.col("r_uid").alias("a"), F.col("comp").alias("b")).unionByName(more)).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
-    members = nodes.select("uid", "times", "unit").join(reach, F.col("uid") == F.col("r_uid"))
-    linked = _counted(members, least, block).withColumnRenamed("uid", "l_uid")
-    known = nodes.select("node", "uid", "times").join(linked, F.col("uid") == F.col("l_uid"), "left")
-    known = known.select(F.col("node").alias("n"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("comp", "uid").alias("comp"))
-    placed = materialise(rows.select("id", "node").join(known, F.col("node") == F.col("n"), "left").select("id", "comp", "n_links"), "placed")
+                        current, ids, units = g, [], []
+                    ids.append(uid)
+                    units.append(np.frombuffer(u, np.float64))
+                    if rank // span == g[3]:  # else it is the window before the span, compared in the span before
+                        fresh += 1
+                        if fresh == block:
+                            if (out := flush()) is not None:
+                                yield out
+            if (out := flush()) is not None:
+                yield out
+
+        reach = components(dealt.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
+        # groups that no window holds whole
+        large = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * block).select("label", "dim")
+        large = materialise(large, "large")
+        if large.limit(1).count():
+            reached = nodes.select("uid", "label", "dim", "unit").join(reach, F.col("uid") == F.col("r_uid"), "left")
+            more = materialise(_crossing(reached.withColumn("comp", F.coalesce("comp", "uid")), large, least, 2 * window), "crossing")
+            if more.limit(1).count():
+                reach = components(reach.select(F.col("r_uid").alias("a"), F.col("comp").alias("b")).unionByName(more)).select(F.col("node").alias("r_uid"), F.col("component").alias("comp"))
+        members = nodes.select("uid", "times", "unit").join(reach, F.col("uid") == F.col("r_uid"))
+        linked = _counted(members, least, block).withColumnRenamed("uid", "l_uid")
+        known = nodes.select("node", "uid", "times").join(linked, F.col("uid") == F.col("l_uid"), "left")
+        known = known.select(F.col("node").alias("n"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("comp", "uid").alias("comp"))
+        known = materialise(known.withColumnRenamed("n", "node"), "known")
+        placed = spread_join(rows.select("id", "node"), known, nodes.select("node", F.col("times").alias("n")))
+        placed = materialise(placed.select("id", "comp", "n_links"), "placed")
+        tables.keep(placed)
     least_id = placed.where("comp IS NOT NULL").groupBy(F.col("comp").alias("c")).agg(F.min("id").alias("least_id"))
     component_id = F.coalesce("least_id", "id")
-    return placed.join(least_id, F.col("comp") == F.col("c"), "left").select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
+    return salted_join(placed, least_id, F.col("comp") == F.col("c"), "id", 8, "left").select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .alignment import similar
 from .components import components
 from .shingles import _ODD, kmers, mix, order_min_hash, word_hashes
-from .state import col, drop, give_back, materialise, scratch
+from .state import col, drop, give_back, materialise, salted_join, scratch, spread_join
 from .words import as_bytes, words
 
 _CHUNK = 1 << 19
@@ -348,7 +348,7 @@ def _between(members: DataFrame, comps: DataFrame) -> DataFrame:
     """
     known = members.join(comps.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node")).drop("c_node", "component")
     homes = known.groupBy("a", "comp").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "comp")).alias("h"), F.count("*").alias("comps")).where("comps > 1").select("a", F.col("h.comp").alias("home"))
-    known = _salted(known, homes, "a")
+    known = salted_join(known, homes.withColumnRenamed("a", "h_a"), F.col("a") == F.col("h_a"), "node", 32).drop("h_a")
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     stray = F.col("comp") != F.col("home")
     columns = ["a", "node", "mask", "comp", "id", "hash"]
@@ -361,22 +361,6 @@ def _between(members: DataFrame, comps: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("lead", F.lit(False))
 
 
-def _salted(rows: DataFrame, few: DataFrame, key: str, salts: int = 32, how: str = "inner") -> DataFrame:
-    """rows joined with few on key; few has a key once, so its rows are repeated and a key that many rows have is many tasks' work."""
-    small = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed(key, "__key")
-    large = rows.withColumn("__s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return large.join(small, (F.col(key) == F.col("__key")) & (F.col("__s") == F.col("__salt")), how).drop("__key", "__salt", "__s")
-
-
-def _spread(rows: DataFrame, few: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows left-joined with few on node, of which each has few.node once. Nodes of at least a thousandth of all rows, a thousand at most, are joined by broadcast."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where((F.col("n") > 1) & (F.col("n") * 1000 >= total)).select(F.col("node").alias("h"))
-    rest = rows.join(F.broadcast(hot), F.col("node") == F.col("h"), "left_anti").join(few.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").drop("f")
-    heavy = F.broadcast(hot.join(few.withColumnRenamed("node", "f"), F.col("h") == F.col("f"), "left").drop("f"))
-    return rest.unionByName(rows.join(heavy, F.col("node") == F.col("h")).drop("h"))
-
-
 def text_hash(text: Column) -> Column:
     """Tells texts of one id apart, and null from all texts."""
     return F.xxhash64(text, F.octet_length(text))
@@ -432,7 +416,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         large = materialise(members.groupBy("a").agg(F.sum("weight").alias("weight")).where(F.col("weight") > block_bytes).select("a", F.ceil(F.col("weight") / block_bytes).cast("int").alias("n_blocks")), "large")
         some_large = large.limit(1).count() > 0
         if some_large:
-            members = _salted(members, large, "a", how="left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+            members = salted_join(members, large.withColumnRenamed("a", "l_a"), F.col("a") == F.col("l_a"), "node", 32, "left").drop("l_a").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
         else:
             members = members.withColumn("n_blocks", F.lit(1))
         members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
@@ -448,9 +432,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         # classes by node, then rows by node
         named = reps.join(found.select(F.col("node").alias("f"), F.col("component").alias("comp")), F.col("node") == F.col("f"), "left").select("node", "n", F.struct("rep.no_id", "rep.id", "node").alias("own"), "comp")
         best = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least_own"))
-        classes = materialise(_salted(named, best, "comp", 8, "left").select("node", "n", F.coalesce("least_own", "own").alias("best")), "classes")
+        classes = materialise(salted_join(named, best.withColumnRenamed("comp", "b_comp"), F.col("comp") == F.col("b_comp"), "node", 8, "left").select("node", "n", F.coalesce("least_own", "own").alias("best")), "classes")
         tables.keep(sk, classes)
-    rows = _spread(sk.select("id", "node", "n_words", "hash"), classes.select("node", "best"), classes.select("node", "n"))
+    rows = spread_join(sk.select("id", "node", "n_words", "hash"), classes.select("node", "best"), classes.select("node", "n"))
     alone = F.col("best").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("best.id"))
     kept = alone | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")))

@@ -84,6 +84,23 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm.System.gc()
 
 
+def salted_join(rows: DataFrame, few: DataFrame, on: Column, by: Column | str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """rows joined with few, whose keys are unique: few is repeated, and rows are dealt by the hash of `by`, so that a key that many rows have is many
+    tasks' work."""
+    small = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    large = rows.withColumn("__s", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return large.join(small, on & (F.col("__s") == F.col("__salt")), how).drop("__salt", "__s")
+
+
+def spread_join(rows: DataFrame, few: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows left-joined with few on node, of which each has few.node once. Nodes of at least a thousandth of all rows, a thousand at most, are joined by broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("n") > 1) & (F.col("n") * 1000 >= total)).select(F.col("node").alias("h"))
+    rest = rows.join(F.broadcast(hot), F.col("node") == F.col("h"), "left_anti").join(few.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").drop("f")
+    heavy = F.broadcast(hot.join(few.withColumnRenamed("node", "f"), F.col("h") == F.col("f"), "left").drop("f"))
+    return rest.unionByName(rows.join(heavy, F.col("node") == F.col("h")).drop("h"))
+
+
 def give_back() -> None:
     """At the end of a task: what this Python process has freed goes back to the system, as the process is used again."""
     pa.default_memory_pool().release_unused()

@@ -66,3 +66,24 @@ def test_links_beyond_all_windows(spark):
         got = {r.vec_id: r for r in embedding_links(df, window=window, span=4 * window, passes=1).collect()}
         assert [got[i].component_id for i in range(len(table))] == comp
         assert [got[i].n_links for i in range(len(table))] == n_links
+
+
+def test_recall_of_a_label_far_above_the_window(spark):
+    """A label of 40 windows, a third of it in one group of close vectors: all links there are, as one matrix product finds them."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((500, 32))
+    parts = [base[i % 500] + rng.normal(0, 0.12, 32) for i in range(1700)] + [base[0] + rng.normal(0, 0.05, 32) for _ in range(860)]
+    units = np.stack([unit(v.tolist()) for v in parts])
+    near = units @ units.T >= 0.93
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(units))
+    while True:
+        low = np.array([min(comp[i], comp[near[i]].min(initial=comp[i])) for i in range(len(units))])
+        if (low == comp).all():
+            break
+        comp = low
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(parts)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_links(df, window=64, span=256, passes=4).collect()}
+    assert near.sum() > 700_000
+    assert [got[i].n_links for i in range(len(units))] == near.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(units))] == comp.tolist()
