@@ -3,9 +3,9 @@
 The pages of a host are merged into one tree: elements with the same path of tags and classes are one node.
 For every node, the diversity of the child sequences it has on the host's pages (its presentation) and of
 the texts below it (its content) are measured as entropies. What looks and reads the same on page after
-page is of low importance, and such branches are cut from each page; so are the branches whose elements
-say themselves that they are menus, notices, adverts, forms or comments. Hosts with few pages have little
-to compare, so their nodes fall back on what their elements say.
+page is of low importance, and such branches are cut from each page first; then go the branches whose elements
+say themselves that they are menus, notices, adverts, forms or comments. Hosts of few pages
+are compared as one coarse site, in which only what reads alike across hosts is of low importance; there, names decide most.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .state import ascii_lower, col, materialise, others
+from .state import ascii_lower, col, materialise, others, salted_join, scratch
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin a block of their own.
@@ -186,20 +186,23 @@ class _Blocks:
 def main_text(html: str | None, dull: frozenset[int] | set[int] = frozenset()) -> str:
     """The article's blocks, joined by line feeds. dull: digests of paths of low importance on the page's host.
 
-    The article is the page's article or main elements (the outermost ones; an article inside a comment list isn't
-    one), else elements whose class says so, else the body. Headings in an article's own header stay.
+    Branches of low importance go first, then those whose elements say what they are. Of what is left, the article is the page's
+    article or main elements (the outermost ones), else elements whose class says so, else all of it. Headings in an article's
+    own header stay.
     """
-    return _main_text(parse(html), dull)
+    return _main_text(parse_nodes(html), dull)[0]
 
 
-def _main_text(root: Node, dull: frozenset[int] | set[int] = frozenset()) -> str:
-    tops = _tops(root)
+def _main_text(nodes: list[Node], dull: frozenset[int] | set[int] = frozenset()) -> tuple[str, int, int]:
+    """The text, and how many branches the style tree and names have cut."""
+    root = nodes[0]
+    tops, cut = _tops(nodes, dull)
     blocks = _Blocks()
     for path, top, chosen in tops or [("", root, False)]:
         # an article that is itself alike on many pages is a repeated page, not a repeated branch
-        _walk(top, path, chosen, frozenset() if _digest(path) in dull else dull, blocks)
+        _walk(top, path, chosen, frozenset() if _digest(path) in dull else dull, blocks, cut if tops else [0, 0])
         blocks.cut()
-    return "\n".join(blocks.done)
+    return "\n".join(blocks.done), *cut
 
 
 def _never(node: Node, inside: bool) -> bool:
@@ -208,40 +211,45 @@ def _never(node: Node, inside: bool) -> bool:
     return bool(node.attrs) and node.tag not in ("body", "html") and ("hidden" in node.attrs.split() or (_SAYS.search(node.attrs) is not None and not (_MAIN.search(node.attrs) and node.tag in ("article", "main"))))
 
 
-def _tops(root: Node) -> list[tuple[str, Node, bool]]:
+def _tops(nodes: list[Node], dull) -> tuple[list[tuple[str, Node, bool]], list[int]]:
+    """The outermost elements that hold the article, and how many branches outside of them the style tree and names have cut.
+
+    An article of low importance is a repeated page and stays; so do the elements around any article.
+    """
     found: dict[str, list] = {"article": [], "main": [], "class": []}
-    stack = [("", root)]
+    cut = [0, 0]
+    around: set[int] = set()  # elements that are or hold such a one
+    for node in reversed(nodes):  # children come after their parents
+        if (id(node) in around or _is_top(node)) and node.parent is not None:
+            around |= {id(node), id(node.parent)}
+    stack = [("", nodes[0], frozenset())]
     while stack:
-        path, node = stack.pop()
+        path, node, inside = stack.pop()
+        said = _is_top(node)
+        if said and said not in inside:
+            found[said].append((path, node, True))
+            inside = inside | {said}
         for child in reversed(node.children):
-            if isinstance(child, Node) and not _never(child, False):
+            if isinstance(child, Node):
                 below = f"{path}/{kind(child)}" if child.tag in BLOCKS else path
-                stack.append((below, child))
-        if node is root:
-            continue
-        if node.tag == "article":
-            found["article"].append((path, node, True))
-        elif node.tag == "main" or "main" in node.attrs.split():
-            found["main"].append((path, node, True))
-        elif node.tag in ("div", "section", "td") and _MAIN.search(node.attrs):
-            found["class"].append((path, node, True))
-    for group in found.values():
-        outer = [x for x in group if not any(_within(x[1], y[1]) for y in group)]
-        if outer:
-            return outer
-    return []
-
-
-def _within(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up is other:
-            return True
-        up = up.parent
-    return False
-
-
-def _walk(top: Node, path: str, chosen: bool, dull, blocks: _Blocks) -> None:
+                if child.tag in BLOCKS and child.tag not in ("html", "body") and not said and _digest(below) in dull and id(child) not in around:
+                    cut[0] += not inside
+                elif _never(child, False):
+                    cut[1] += not inside
+                else:
+                    stack.append((below, child, inside))
+    return next((group for group in found.values() if group), []), cut
+
+
+def _is_top(node: Node) -> str | None:
+    if node.tag == "article":
+        return "article"
+    if node.tag == "main" or "main" in node.attrs.split():
+        return "main"
+    return "class" if node.tag in ("div", "section", "td") and _MAIN.search(node.attrs) else None
+
+
+def _walk(top: Node, path: str, chosen: bool, dull, blocks: _Blocks, cut: list[int]) -> None:
     # depth is the page's, so no recursion; a None ends a block
     stack: list[tuple[str, Node | str | None]] = [(path, c) for c in reversed(top.children)]
     while stack:
@@ -250,19 +258,20 @@ def _walk(top: Node, path: str, chosen: bool, dull, blocks: _Blocks) -> None:
             blocks.cut()
         elif isinstance(x, str):
             blocks.open.append(x)
-        elif not _never(x, chosen):
-            if x.tag == "br":
+        else:
+            below = f"{path}/{kind(x)}" if x.tag in BLOCKS else path
+            if x.tag in BLOCKS and x.tag not in ("html", "body") and _digest(below) in dull:
+                cut[0] += 1
+                blocks.cut()
+            elif _never(x, chosen):
+                cut[1] += 1
+            elif x.tag == "br":
                 blocks.open.append(" ")
-                continue
-            below = path
-            if x.tag in BLOCKS:
-                below = f"{path}/{kind(x)}"
-                if x.tag not in ("html", "body") and _digest(below) in dull:
+            else:
+                if x.tag in BLOCKS:
                     blocks.cut()
-                    continue
-                blocks.cut()
-                stack.append((path, None))
-            stack.extend((below, c) for c in reversed(x.children))
+                    stack.append((path, None))
+                stack.extend((below, c) for c in reversed(x.children))
 
 
 def _host(url: Column) -> Column:
@@ -270,33 +279,46 @@ def _host(url: Column) -> Column:
 
 
 def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = 8, importance: float = 0.2) -> DataFrame:
-    """(host, dull): digests of the paths that are of low importance on their host.
+    """(host, dull): digests of the paths that are of low importance, for each host of at least min_pages different pages that has any, and
+    with host null for all other hosts together.
 
     A path's importance is the greater of two entropies over the host's pages that have it, each divided by the
-    logarithm of their number: of its child sequences and of its texts. Paths on fewer than min_pages pages of a host,
+    logarithm of their number: of its child sequences and of its texts. Paths on fewer than min_pages pages,
     and all paths above an important one, are left alone. Pages of a host with one main text are copies and count as one
     page (the one whose tree has the least digest), as what is alike on copies of a page needn't be the site's.
     """
-    parsed = F.arrow_udf(_style_batches, "struct<main: binary, page: binary, nodes: array<struct<path: bigint, shape: bigint, text: bigint>>>")
-    read = pages.select(_host(col(url)).alias("host"), parsed(col(html)).alias("p")).select("host", "p.*")
-    read = materialise(read.withColumn("uid", F.monotonically_increasing_id()), "pages")
-    # a hot page's copies are summed where they are read, and found again by numbers of their own
-    once = read.groupBy("host", "main").agg(F.min(F.struct("page", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
-    nodes = read.join(once, "uid", "left_semi").select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-    nodes = materialise(nodes, "nodes")  # three measures from one reading of the pages
-    # one shuffle a measure, each a sum of counts, so hot hosts and paths are summed where they are read
-    pages_with = nodes.groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages)
-
-    def entropy(of: str) -> DataFrame:
-        counts = nodes.groupBy("host", "path", of).agg(F.count("*").alias("c"))
-        return counts.groupBy("host", "path").agg(F.sum(F.col("c") * F.log("c")).alias("s"))
-
-    measured = pages_with
-    for of in ("shape", "text"):
-        measured = measured.join(entropy(of).withColumnRenamed("s", f"s_{of}"), ["host", "path"])
-    bits = lambda s: 1 - F.col(s) / (F.col("m") * F.log("m"))
-    low = measured.where(F.greatest(bits("s_shape"), bits("s_text")) < importance)
-    return low.groupBy("host").agg(F.collect_set("path").alias("dull"))
+    return _trees(pages, url, html, min_pages, importance).where(F.size("dull") > 0)
+
+
+def _trees(pages: DataFrame, url: str, html: str, min_pages: int = 8, importance: float = 0.2) -> DataFrame:
+    """site_style_tree() with a row for every host of at least min_pages different pages."""
+    with scratch(pages.sparkSession) as tables:
+        parsed = F.arrow_udf(_style_batches, "struct<main: binary, page: binary, nodes: array<struct<path: bigint, shape: bigint, text: bigint>>>")
+        read = pages.select(_host(col(url)).alias("host"), parsed(col(html)).alias("p")).select("host", "p.*")
+        read = materialise(read.withColumn("uid", F.monotonically_increasing_id()), "pages")
+        # a hot page's copies are summed where they are read, and found again by numbers of their own
+        once = materialise(read.groupBy("host", "main").agg(F.min(F.struct("page", "uid")).alias("first")).select("host", F.col("first.uid").alias("id")), "once")
+        large = once.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select(F.col("host").alias("site"))
+        large = materialise(large, "sites")
+        sites = salted_join(once, large, F.col("host") == F.col("site"), "id", how="left").select("site", "id")
+        nodes = read.join(sites, F.col("uid") == F.col("id")).select("site", F.explode("nodes").alias("n")).select("site", "n.*")
+        nodes = materialise(nodes, "nodes")  # three measures from one reading of the pages
+        # one shuffle a measure, each a sum of counts, so hot hosts and paths are summed where they are read
+        measured = nodes.groupBy("site", "path").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages)
+
+        def entropy(of: str) -> DataFrame:
+            counts = nodes.groupBy("site", "path", of).agg(F.count("*").alias("c"))
+            return counts.groupBy(F.col("site").alias("s"), F.col("path").alias("p")).agg(F.sum(F.col("c") * F.log("c")).alias(f"s_{of}"))
+
+        for of in ("shape", "text"):
+            measured = measured.join(entropy(of), F.col("site").eqNullSafe(F.col("s")) & (F.col("path") == F.col("p"))).drop("s", "p")
+        bits = lambda s: 1 - F.col(s) / (F.col("m") * F.log("m"))
+        low = measured.where(F.greatest(bits("s_shape"), bits("s_text")) < importance)
+        # every large host has a row, so that pages of others can be told
+        rows = large.select("site", F.lit(None).cast("bigint").alias("path")).unionByName(low.select("site", "path"))
+        tree = materialise(rows.groupBy(F.col("site").alias("host")).agg(F.collect_set("path").alias("dull")), "styles")
+        tables.keep(tree)
+    return tree
 
 
 def _style_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -306,28 +328,38 @@ def _style_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for h in htmls.to_pylist():
             nodes = parse_nodes(h)
             styles = _styles(nodes)
-            main = hashlib.blake2b(" ".join(_main_text(nodes[0]).split()).encode("utf-8", "replace"), digest_size=16).digest()
+            main = hashlib.blake2b(" ".join(_main_text(nodes)[0].split()).encode("utf-8", "replace"), digest_size=16).digest()
             page = hashlib.blake2b(repr(styles).encode(), digest_size=16).digest()
             out.append({"main": main, "page": page, "nodes": [{"path": p, "shape": s, "text": t} for p, s, t in styles]})
         yield pa.array(out, kind_)
 
 
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html", **options) -> DataFrame:
-    """pages without html, with text (the main text's blocks, joined by line feeds) and n_chars (its code points).
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", coarse_paths: int = 1_000_000, **options) -> DataFrame:
+    """pages without html, with text (the main text's blocks, joined by line feeds), n_chars (its code points), and cut_by_tree
+    and cut_by_name: how many branches went by low importance, and by what they say of themselves.
 
-    Null or empty html gives an empty text. A url that is null or without "://" has the empty host, whose pages are
-    compared with each other. Where most pages of a host are copies of one, its article is alike on them, too; such an
-    article stays whole. Columns with an output's name give way.
+    Null or empty html gives an empty text; html is read whole, however long or deep. A url that is null or without "://" has the
+    empty host, whose pages are compared with each other. Repeated rows are extracted each for itself. Where most pages of a host are
+    copies of one, its article is alike on them, too; such an article stays whole. Columns with an output's name give way; any other
+    names do. More than coarse_paths paths of low importance over the hosts of few pages are refused, as they go to all tasks.
     """
-    dull = materialise(site_style_tree(pages, url, html, **options), "styles")
-    kept = [c for c in others(pages, ["text", "n_chars"]) if c != html]
-
-    extract = F.arrow_udf(_text_batches, "string")
-    joined = pages.join(dull.withColumnRenamed("host", "__host"), _host(col(url)) == F.col("__host"), "left")
-    done = joined.select(*map(col, kept), extract(col(html), F.col("dull")).alias("text"))
-    return done.select(*map(col, kept), "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def _text_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for htmls, dull in batches:
-        yield pa.array([main_text(h, set(d or ())) for h, d in zip(htmls.to_pylist(), dull.to_pylist(), strict=True)], pa.string())
+    tree = _trees(pages, url, html, **options)
+    pool = tree.where("host IS NULL").select(F.size("dull").alias("n"), "dull")
+    if (n := (pool.select("n").first() or [0])[0]) > coarse_paths:
+        raise ValueError(f"{n} paths of low importance over hosts of few pages; raise coarse_paths if tasks can hold them")
+    coarse = (pool.select("dull").first() or [[]])[0]
+    held = pages.sparkSession.sparkContext.broadcast(frozenset(coarse))
+    produced = ["text", "n_chars", "cut_by_tree", "cut_by_name"]
+    kept = [c for c in others(pages, produced) if c != html]
+    rows = pages.select(F.struct(*map(col, kept)).alias("row"), col(html).alias("html"), _host(col(url)).alias("page_host"))
+    joined = salted_join(rows, tree.where("host IS NOT NULL"), F.col("page_host") == F.col("host"), F.octet_length("html"), how="left")
+
+    @F.arrow_udf("struct<text: string, cut_by_tree: int, cut_by_name: int>")
+    def extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for htmls, dull in batches:
+            found = [_main_text(parse_nodes(h), held.value if d is None else set(d)) for h, d in zip(htmls.to_pylist(), dull.to_pylist(), strict=True)]
+            text, tree_cuts, name_cuts = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(tree_cuts, pa.int32()), pa.array(name_cuts, pa.int32())], ["text", "cut_by_tree", "cut_by_name"])
+
+    done = joined.select("row", extract("html", "dull").alias("x"))
+    return done.select("row.*", F.col("x.text"), F.length("x.text").cast("long").alias("n_chars"), "x.cut_by_tree", "x.cut_by_name")
