@@ -72,18 +72,14 @@ def _fits(small: tuple[int, ...], rooms: list[int]) -> bool:
     return False
 
 
-def fillings(counts: Counter, room: int) -> Iterator[tuple[int, ...]]:
-    """All undominated fillings of room, least waste first, largest documents first among equals.
+def _sums(counts: Counter, lengths: list[int], need: int) -> Iterator[tuple[int, ...]]:
+    """All choices of documents of these lengths (descending) that sum up to need, largest documents first.
 
-    Which sums the documents from any place on can reach is a bit row each, so no step of the enumeration is in vain. A
-    filling that another document fits beside is dominated by the two together. So is one whose documents an earlier
-    filling could hold in place of its own; that is tested among short ones only, as it is dear, and where it isn't, dominated
-    fillings come, too: they cost time, no solution.
+    Which sums the documents from any place on can reach is a bit row each, so no step of the enumeration is in vain.
     """
-    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
-    reach, whole = [1], (1 << (room + 1)) - 1
+    reach, whole = [1], (1 << (need + 1)) - 1
     for x in reversed(lengths):
-        bits, left, step = reach[-1], min(counts[x], room // x), 1
+        bits, left, step = reach[-1], min(counts[x], need // x), 1
         while left:
             step = min(step, left)
             bits |= (bits << (x * step)) & whole
@@ -105,25 +101,37 @@ def fillings(counts: Counter, room: int) -> Iterator[tuple[int, ...]]:
             if k == len(lengths):
                 return
 
+    return of(0, need)
+
+
+def fillings(counts: Counter, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of room, least waste first, largest documents first among equals.
+
+    A filling that another document fits beside is dominated by the two together; so where `waste` places are left, all documents of up to
+    that length are in, and only the others are chosen among. Dominated, too, is a filling whose documents an earlier
+    one could hold in place of its own; that is tested among short ones only, as it is dear, and where it isn't, dominated
+    fillings come, too: they cost time, no solution.
+    """
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     kept: list[tuple[int, ...]] = []
-    for total in range(room, -1, -1):
-        if not reach[0] >> total & 1:
-            continue
-        for f in of(0, total):
-            if total < room:
-                uses = Counter(f)
-                if any(x <= room - total and counts[x] > uses[x] for x in reversed(lengths)):
-                    continue
-                if len(f) <= 8 and any(_fits(f, list(k)) for k in kept):
-                    continue
+    for waste in range(room + 1):
+        forced = tuple(x for x in lengths if x <= waste for _ in range(counts[x]))
+        need = room - waste - sum(forced)
+        if need < 0:
+            return  # with more waste there are only more that fit beside
+        for chosen in _sums(counts, [x for x in lengths if x > waste], need):
+            f = chosen + forced
+            if waste and len(f) <= 8 and any(_fits(f, list(k)) for k in kept):
+                continue
             if len(f) <= 6 and len(kept) < 64:
                 kept.append(f)
             yield f
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """No packing has fewer bins: by the sum of lengths, and by documents of more than half a bin."""
-    return max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    """No packing has fewer bins: by the sum of lengths, and as a bin holds at most m documents of more than its (m + 1)-th part."""
+    by_count = (-(-sum(n for k, n in counts.items() if (m + 1) * k > capacity) // m) for m in range(1, 17))
+    return max(-(-sum(k * n for k, n in counts.items()) // capacity), *by_count)
 
 
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[Pattern]:

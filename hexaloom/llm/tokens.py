@@ -42,34 +42,42 @@ def _shown_bytes() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Piece -> ids; learns what it hasn't met."""
+    """Piece -> ids; learns what it hasn't met. Holds two generations of about `limit` bytes: what is met again passes from the old one to the new."""
 
-    held = 0  # bytes, about
-
-    def __init__(self, learn):
+    def __init__(self, learn, limit: int):
         super().__init__()
-        self.learn = learn
+        self.learn, self.limit, self.held, self.old = learn, limit, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        return self.learn(piece)
+        ids = self.old.get(piece)
+        return self.learn(piece) if ids is None else self.keep(piece, ids)
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) < 200:
+            if self.held >= self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[piece] = ids
+            self.held += 190 + len(piece) + len(ids)
+        return ids
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes of 4-byte numbers, as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    specials: names of special tokens in a text are those tokens, as is the library's default; otherwise they are text. Each of
-    three memories of pieces holds about `limit` bytes and starts anew beyond.
+    specials: names of special tokens in a text are those tokens, as is the library's default; otherwise they are text. Known
+    pieces, first pieces and marks are remembered within about 3 * limit bytes.
     """
 
-    def __init__(self, path: str, kind: str | None, limit: int = 24 << 20, specials: bool = True):
+    def __init__(self, path: str, kind: str | None, limit: int = 48 << 20, specials: bool = True):
         if kind not in (*KINDS, None):
             raise ValueError(f"kind is one of {KINDS} or None")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
-        self.kind, self.limit = kind, limit
+        self.kind = kind
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.merges, self.shown = self.tokenizer.model, _shown_bytes()
-        self.pieces, self.heads, self.marks = _Pieces(self._learn_piece), _Pieces(self._learn_head), _Pieces(self._learn_marks)
+        self.pieces, self.heads, self.marks = _Pieces(self._learn_piece, limit), _Pieces(self._learn_head, limit // 4), _Pieces(self._learn_marks, limit // 4)
         # a text that may hold one of these isn't cut
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if kind else []
         self.first = sorted({c for n in names for c in (n[0].lower(), n[0].upper())})
@@ -91,16 +99,7 @@ class Encoder:
             ids = memory[m[1]] + self.marks["\n"] + self.heads[m[2]]
         else:
             ids = self._raw(blank + piece)
-        return self._keep(memory, piece, ids)
-
-    def _keep(self, memory: _Pieces, piece: str, ids: bytes) -> bytes:
-        if len(piece) < 200:
-            if memory.held >= self.limit:
-                memory.clear()
-                memory.held = 0
-            memory[piece] = ids
-            memory.held += 200 + 2 * len(piece) + len(ids)
-        return ids
+        return memory.keep(piece, ids)
 
     def _learn_piece(self, piece: str) -> bytes:
         return self._learn(self.pieces, piece, " " if self.kind == "byte" else "")
@@ -109,7 +108,7 @@ class Encoder:
         return self._learn(self.heads, piece, "")
 
     def _learn_marks(self, piece: str) -> bytes:
-        return self._keep(self.marks, piece, self._raw(piece))
+        return self.marks.keep(piece, self._raw(piece))
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -49,7 +49,9 @@ def test_memory_is_bounded_by_bytes():
     e = Encoder(FILES["byte"], "byte", limit=100_000)
     for i in range(5000):
         e.encode(f"q{i}z word{i * 7} x")
-        assert max(m.held for m in (e.pieces, e.heads, e.marks)) < 101_000
+        for m in (e.pieces, e.heads, e.marks):
+            assert m.held < m.limit + 1000 and len(m.old) * 190 < m.limit + 1000
+    assert len(e.pieces.old) > 100
 
 
 @settings(max_examples=100, deadline=None)
