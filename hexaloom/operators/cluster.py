@@ -5,7 +5,10 @@ A codebook has as many rows as the map has neurons, a number the user chose; fit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +66,24 @@ def davies_bouldin(points: np.ndarray, labels: np.ndarray) -> float:
         return float(np.nan_to_num((spread[:, None] + spread[None]) / apart, posinf=0.0).max(1).mean())
 
 
-def davies_bouldin_scan(spark: SparkSession, weights: np.ndarray, max_clust: int = 30, n_iter: int = 100, seed: int = 0) -> DataFrame:
-    """(iteration, k, dbi) for k = 2 to max_clust, on weights standardized by their own mean and deviation."""
+def davies_bouldin_scan(spark: SparkSession, weights: np.ndarray, max_clust: int = 30, n_iter: int = 100, seed: int = 0, n_init: int = 5) -> DataFrame:
+    """(iteration, k, dbi) for k = 2 to max_clust, on weights standardized by their own mean and deviation; clusters are the cheapest of n_init runs.
+
+    The pairs of iteration and k are dealt over the executors; the weights, as large as the map, go out with them.
+    """
     std = weights.std(0)
     z = (weights - weights.mean(0)) / np.where(std == 0, 1, std)
-    rows = [(i, k, davies_bouldin(z, kmeans(z, k, n_init=1, seed=seed + 1000 * i + k))) for i in range(1, n_iter + 1) for k in range(2, min(max_clust, len(z)) + 1)]
-    return spark.createDataFrame(rows, "iteration int, k int, dbi double")
+    held = spark.sparkContext.broadcast(z)
+    most = min(max_clust, len(z)) - 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            rows = [(int(x // most) + 1, int(x % most) + 2) for x in at]
+            dbi = [davies_bouldin(held.value, kmeans(held.value, k, n_init=n_init, seed=seed + 1000 * i + k)) for i, k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.int32()), pa.array(dbi, pa.float64())], names=["iteration", "k", "dbi"])
+
+    return spark.range(0, n_iter * max(most, 0), 1, max(1, min(n_iter, 256))).mapInArrow(scan, "iteration int, k int, dbi double")
 
 
 def local_minima(scan: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
-    """(label, threshold, fnr, fpr) at 0 to 1 in equal steps. Samples are first counted by the step they reach, so each is read once."""
+    """(label, threshold, fnr, fpr, accuracy) at 0 to 1 in equal steps. Samples are first counted by the step they reach, so each is read once."""
     # the number of thresholds i / steps that p is strictly above
     reached = F.greatest(F.lit(0), F.least(F.lit(steps + 1), F.ceil(F.round(F.col("p") * steps, 9)))).cast("int")
     by = scored.groupBy("label", "truth", reached.alias("reached")).agg(F.count("*").alias("n"))
@@ -37,12 +37,13 @@ def threshold_sweep(scored: DataFrame, steps: int = 100) -> DataFrame:
     grid = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     j = grid.join(by.withColumnRenamed("label", "l"), (F.col("label") == F.col("l")) & (F.col("reached") > F.col("i")), "left")
     above_it = j.groupBy("label", "i", "pos", "neg").agg(F.sum(F.when(F.col("truth") == 1, F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("truth") == 0, F.col("n")).otherwise(0)).alias("fp"))
-    return above_it.select("label", (F.col("i") / steps).alias("threshold"), divide(F.col("pos") - F.col("tp"), F.col("pos")).alias("fnr"), divide(F.col("fp"), F.col("neg")).alias("fpr"))
+    return above_it.select("label", (F.col("i") / steps).alias("threshold"), divide(F.col("pos") - F.col("tp"), F.col("pos")).alias("fnr"), divide(F.col("fp"), F.col("neg")).alias("fpr"), divide(F.col("tp") + F.col("neg") - F.col("fp"), F.col("pos") + F.col("neg")).alias("accuracy"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """(label, threshold): where |fnr - fpr| is least, the lowest such; 0 becomes 0.01."""
-    best = sweep.groupBy("label").agg(F.min(F.struct(F.round(F.abs(F.col("fnr") - F.col("fpr")), 9).alias("gap"), "threshold")).alias("b"))
+    """(label, threshold): where |fnr - fpr| is least, both in percent of two places, the lowest such; 0 becomes 0.01."""
+    percent = lambda c: F.round(100 * F.col(c), 2)
+    best = sweep.groupBy("label").agg(F.min(F.struct(F.round(F.abs(percent("fnr") - percent("fpr")), 2).alias("gap"), "threshold")).alias("b"))
     return best.select("label", F.when(F.col("b.threshold") == 0, 0.01).otherwise(F.col("b.threshold")).alias("threshold"))
 
 

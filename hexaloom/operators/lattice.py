@@ -6,6 +6,8 @@ the right. In cube coordinates the hexagonal distance is half the sum of absolut
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,45 @@ def distance_array(columns: int, rows: int, toroid: bool = True, power: float =
     return np.floor(best**power)
 
 
+class Grid:
+    """Distances of a map's neurons by offsets: from a row of either parity, a table over (rows, columns) away. Twice (2 rows) x (2 columns)
+    numbers stand for the square of the map's neurons."""
+
+    def __init__(self, columns: int, rows: int, toroid: bool = True, power: float = 2):
+        if toroid and rows % 2:
+            raise ValueError("a toroid has even rows")
+        self.columns, self.rows = columns, rows
+        x, y = np.arange(1 - columns, columns), np.arange(1 - rows, rows)
+        images = [(i, j) for i in (-columns, 0, columns) for j in (-rows, 0, rows)] if toroid else [(0, 0)]
+        best = np.full((2, len(y), len(x)), np.inf)
+        for odd in (0, 1):
+            own = cube(0, odd, odd)
+            there = (y + odd) % 2
+            for i, j in images:
+                other = cube((x + i)[None, :], (y + odd + j)[:, None], there[:, None])
+                best[odd] = np.minimum(best[odd], sum(np.abs(p - q) for p, q in zip(own, other, strict=True)) / 2)
+        self.d = np.floor(best**power)
+
+    def weigh(self, weight: Callable[[np.ndarray], np.ndarray]) -> Weights:
+        return Weights(self, weight(self.d))
+
+
+class Weights:
+    """A neighbourhood as a linear map: weights @ table sums the rows of all neurons for each neuron, one row of neurons at a time."""
+
+    def __init__(self, grid: Grid, w: np.ndarray):
+        self.grid, self.w = grid, w
+        self.away = np.arange(grid.columns)[None, :] - np.arange(grid.columns)[:, None] + grid.columns - 1
+
+    def __matmul__(self, table: np.ndarray) -> np.ndarray:
+        c, r = self.grid.columns, self.grid.rows
+        out = np.empty((c * r, table.shape[1]))
+        for y in range(r):
+            near = self.w[y % 2, r - 1 - y : 2 * r - 1 - y][:, self.away]  # (rows there, columns here, columns there)
+            out[y * c : (y + 1) * c] = near.transpose(1, 0, 2).reshape(c, r * c) @ table
+        return out
+
+
 def neighbours(spark: SparkSession, columns: int, rows: int, toroid: bool = True) -> DataFrame:
     """(neuron, k, neighbour): the six neighbours in order k = 0 to 5; planar maps leave out those beyond the edge."""
     steps = F.when(F.col("ret_y") % 2 == 0, _steps(0)).otherwise(_steps(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def fill_from_neuron(assigned: DataFrame, codebook) -> DataFrame:
     rows = [(k + 1, [float(v) for v in w]) for k, w in enumerate(codebook)]
     w = assigned.sparkSession.createDataFrame(rows, "bmu int, w array<double>")
     filled = F.when(F.col("w").isNull(), F.col("x")).otherwise(F.zip_with("x", "w", lambda a, b: F.coalesce(a, b)))
-    return assigned.join(F.broadcast(w), "bmu", "left").withColumn("x", filled).select(*assigned.columns)  # as large as the map
+    w = F.broadcast(w) if np.asarray(codebook).nbytes <= 64 << 20 else w
+    return assigned.join(w, "bmu", "left").withColumn("x", filled).select(*assigned.columns)
 
 
 def representatives(samples: DataFrame, codebook) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .assign import matrix, ranked
+from .lattice import Weights
 
 
 def local_sums(x: np.ndarray, at: np.ndarray, dist: np.ndarray, k: int, skip_missing: bool) -> np.ndarray:
@@ -63,9 +64,10 @@ def voronoi_sums(samples: DataFrame, codebook: np.ndarray, skip_missing: bool =
     return out
 
 
-def smooth(sums: np.ndarray, h: np.ndarray, old: np.ndarray) -> np.ndarray:
+def smooth(sums: np.ndarray, h: np.ndarray | Weights, old: np.ndarray) -> np.ndarray:
     """New codebook from voronoi_sums() and the neighbourhood h, rounded to 6 places; neurons that nothing reaches keep their weights."""
     d = old.shape[1]
-    num, den = h @ sums[:, :d], h @ sums[:, d : 2 * d]
+    both = h @ sums[:, : 2 * d]
+    num, den = both[:, :d], both[:, d:]
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.round(np.where(den > 0, num / den, old), 6)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as norm
 from ..functions.kernels import kernel
 from ..operators import cluster, evaluate, lattice, samples, umatrix
-from ..operators.assign import bmu
+from ..operators.assign import bmu, matrix
 from . import schedule
 from .training import pca_codebook, random_codebook, train
 
@@ -106,19 +108,36 @@ class SelfOrganizingMap:
             schedule.rough(columns, rows, stats.rows, epochs=self.rough_epochs, first=self.rough_first, last=self.rough_last, **opts),
             schedule.fine(columns, rows, stats.rows, epochs=self.fine_epochs, first=self.fine_first, last=self.fine_last, **opts),
         ]
-        grid = lattice.distance_array(columns, rows, toroid, self.dist_factor)
+        grid = lattice.Grid(columns, rows, toroid, self.dist_factor)
         job = train(ready, stats.rows, start, grid, phases, self.kernel, self.missing, self.previous_epoch, self.missing_update == "skip", self.bootstrap_proportion if self.bootstrap else None, self.seed, self.local_cells)
         return SomModel(self, features, stats, (columns, rows), job.codebook, [asdict(p) for p in phases], job.history)
 
 
 def _covariance(ready: DataFrame, d: int) -> np.ndarray:
-    """Sample covariance by one aggregation of d (d + 1) / 2 sums."""
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = ready.agg(*[F.covar_samp(F.col("x")[i], F.col("x")[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((d, d))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c{i}_{j}"] or 0.0
-    return out
+    """Sample covariance of complete samples: tasks sum products of normalized cells, and a hash aggregate merges their sums."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = matrix(batch.column(0), d)
+            x = np.concatenate([x, np.ones((len(x), 1))], 1)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(d + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    sums = np.zeros((d + 1, d + 1))
+    for r in ready.select("x").mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        sums[r["i"], r["j"]] = sums[r["j"], r["i"]] = r["s"]
+    n = sums[d, d]
+    if n < 2:
+        return np.zeros((d, d))
+    return (sums[:d, :d] - np.outer(sums[:d, d], sums[:d, d]) / n) / (n - 1)
+
+
+def _small(table: DataFrame, rows: int, columns: int, most: int = 64 << 20) -> DataFrame:
+    """table for a join, broadcast when its rows of so many numbers are at most `most` bytes; a larger map's table is joined as any other."""
+    return F.broadcast(table) if rows * columns * 8 <= most else table
 
 
 @dataclass
@@ -171,7 +190,7 @@ class SomModel:
         """One row a sample: sample_id, BMU, q_error, and its neuron's columns. Samples without cells have nulls."""
         a = self.assign(df).select("sample_id", F.col("b.bmu1").alias("BMU"), F.col("b.dist1").cast("float").alias("q_error"))
         n = self.neurons(df.sparkSession)
-        joined = a.join(F.broadcast(n), "BMU", "left")  # as large as the map
+        joined = a.join(_small(n, len(self.codebook), len(n.columns)), "BMU", "left")
         return joined.select("sample_id", "BMU", "q_error", F.col("Udist").cast("float").alias("Udist"), *n.columns[2:])
 
     def project(self, df: DataFrame, with_labels: bool = False, features: list[str] | None = None, impute: bool = False) -> DataFrame:
@@ -184,7 +203,8 @@ class SomModel:
             labels = set(self.features[-self.settings.pred_size :])
             have = [f for f in have if f not in labels]
         a = self.assign(df, have).select("sample_id", F.col("b.bmu1").alias("BMU"))
-        table = a.join(F.broadcast(self.neurons(df.sparkSession)), "BMU", "left").select("sample_id", "BMU", *self.neurons(df.sparkSession).columns[1:])
+        n = self.neurons(df.sparkSession)
+        table = a.join(_small(n, len(self.codebook), len(n.columns)), "BMU", "left").select("sample_id", "BMU", *n.columns[1:])
         if not impute:
             return table
         own = df.select(norm.quoted(self.settings.sample_id).alias("sample_id"), *[norm.quoted(f).cast("double").alias(f) for f in self.features if f in df.columns])
@@ -220,7 +240,7 @@ class SomModel:
         """results() without q_error, with <k>_clusters."""
         k = len(np.unique(labels))
         c = df.sparkSession.createDataFrame([(i + 1, int(v)) for i, v in enumerate(labels)], f"BMU int, `{k}_clusters` int")
-        return self.results(df).drop("q_error").join(F.broadcast(c), "BMU", "left")
+        return self.results(df).drop("q_error").join(_small(c, len(labels), 2), "BMU", "left")
 
     def kmeans(self, k: int = 3, **options) -> np.ndarray:
         return cluster.kmeans(self.codebook, k, **options)
@@ -234,7 +254,7 @@ class SomModel:
         if threshold is not None:
             return evaluate.rates(evaluate.confusion(scored, threshold))
         best = evaluate.best_threshold(evaluate.threshold_sweep(scored)).withColumnRenamed("label", "l")
-        joined = scored.join(F.broadcast(best), F.col("label") == F.col("l")).withColumn("p", F.when(F.col("p") > F.col("threshold"), 1.0).otherwise(0.0))
+        joined = scored.join(_small(best, len(labels or self.features), 2), F.col("label") == F.col("l")).withColumn("p", F.when(F.col("p") > F.col("threshold"), 1.0).otherwise(0.0))
         return evaluate.rates(evaluate.confusion(joined, 0.5)).join(best.withColumnRenamed("l", "label"), "label")
 
     def scored(self, df: DataFrame, labels: list[str] | None = None) -> DataFrame:

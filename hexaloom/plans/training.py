@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import kernel
 from ..functions.scalars import xxhash64_longs
 from ..operators.assign import matrix, ranked
+from ..operators.lattice import Grid
 from ..operators.samples import bootstrap_cut, draw_hash, drawn, sample_hash
 from ..operators.update import SPARSE, local_sums, smooth, sparse_rows, summed, voronoi_sums
 from .schedule import Phase
@@ -57,7 +58,7 @@ class Training:
     history: list[tuple[str, int, float, float]] = field(default_factory=list)
 
 
-def train(samples: DataFrame, n: int, codebook: np.ndarray, grid: np.ndarray, phases: list[Phase], kernel_name: str = "gaussian", missing: bool = False, previous_epoch: bool = True, skip_missing: bool = False, bootstrap_proportion: float | None = None, seed: int = 0, local_cells: int = 4_000_000) -> Training:
+def train(samples: DataFrame, n: int, codebook: np.ndarray, grid: Grid, phases: list[Phase], kernel_name: str = "gaussian", missing: bool = False, previous_epoch: bool = True, skip_missing: bool = False, bootstrap_proportion: float | None = None, seed: int = 0, local_cells: int = 4_000_000) -> Training:
     """Train codebook on samples (sample_id, x). Null cells need missing=True.
 
     Complete samples: assign, then update. With missing cells the rough phase measures distance on present cells. The
@@ -81,7 +82,7 @@ def train(samples: DataFrame, n: int, codebook: np.ndarray, grid: np.ndarray, ph
             sums = state.epoch(job.codebook, vary, bootstrap_proportion)
             rows_ = sums[:, -2].sum()
             job.history.append((phase.name, epoch, float(radius), float(sums[:, -1].sum() / rows_) if rows_ else 0.0))
-            job.codebook = smooth(sums, h(grid, float(radius)), job.codebook)
+            job.codebook = smooth(sums, grid.weigh(lambda d, r=float(radius): h(d, r)), job.codebook)
     state.close()
     return job
 

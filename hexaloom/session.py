@@ -13,8 +13,8 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, and bound the rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Send this package to the Python workers, once per application, and bound the bytes of an Arrow batch: many short rows go together, few long ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -22,8 +22,8 @@ class OnlineUpdate:
 
     def __init__(self, model: SomModel, radius: float = 1.0, share: float = 0.1):
         self.model, self.share = model, share
-        grid = lattice.distance_array(*model.size, model.toroid, model.settings.dist_factor)
-        self.h = kernel(model.settings.kernel).array(grid, radius)
+        grid = lattice.Grid(*model.size, model.toroid, model.settings.dist_factor)
+        self.h = grid.weigh(lambda d: kernel(model.settings.kernel).array(d, radius))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         sums = voronoi_sums(self.model.vectors(batch), self.model.codebook)

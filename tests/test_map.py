@@ -127,7 +127,7 @@ def test_draws_and_noise_do_not_depend_on_where_it_runs(spark, points, options):
         x[1::9, 0] = np.nan
     phases = [schedule.Phase("rough", 3, 3.0, 2.0), schedule.Phase("fine", 3, 2.5, 1.5)]
     vectors = to_vector(table(spark, x), "sample_id", list("abc")).repartition(3)
-    start, grid = points[::5], lattice.distance_array(6, 4, True)
+    start, grid = points[::5], lattice.Grid(6, 4, True)
     here, there = (train(vectors, 120, start, grid, phases, missing="missing" in options, skip_missing="missing_update" in options, bootstrap_proportion=0.7 if "bootstrap" in options else None, seed=5, local_cells=c) for c in (10**6, 0))
     assert np.abs(here.codebook - there.codebook).max() < 2e-5
     assert np.allclose([h[3] for h in here.history], [h[3] for h in there.history], atol=1e-5)
