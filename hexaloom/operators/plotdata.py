@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, umatrix
+from . import cluster, lattice, umatrix
 
 
 def umatrix_plot(spark: SparkSession, codebook: np.ndarray, columns: int, rows: int, toroid: bool = True, log: bool = False, wrap: int = 0) -> DataFrame:
@@ -71,11 +71,34 @@ def template(spark: SparkSession, columns: int, rows: int) -> DataFrame:
     return lattice.neurons(spark, columns, rows).select(F.col("hex_x").alias("cx"), F.col("hex_y").alias("cy"), (F.col("neuron") + 1).cast("string").alias("text"))
 
 
-def cluster_plot(spark: SparkSession, labels: np.ndarray, columns: int, rows: int, highlight: list[int] | None = None) -> DataFrame:
-    """(neuron, cx, cy, cluster, shown)."""
+def cluster_plot(spark: SparkSession, labels: np.ndarray, columns: int, rows: int, highlight: list[int] | None = None, names: dict[int, str] | None = None, codebook: np.ndarray | None = None, assigned: DataFrame | None = None, toroid: bool = True) -> DataFrame:
+    """(neuron, cx, cy, cluster, shown), with names also text (a cluster's own label, else its number), with codebook u (the U-matrix to lay
+    over it), with assigned (bmu) hits and radius of its samples' marks, 0 where there are none."""
     c = spark.createDataFrame([(i, int(v)) for i, v in enumerate(labels)], "neuron int, cluster int")
     shown = F.col("cluster").isin(highlight) if highlight else F.lit(True)
-    return lattice.neurons(spark, columns, rows).join(c, "neuron").select("neuron", F.col("hex_x").alias("cx"), F.col("hex_y").alias("cy"), "cluster", shown.alias("shown"))
+    out = lattice.neurons(spark, columns, rows).join(c, "neuron").select("neuron", F.col("hex_x").alias("cx"), F.col("hex_y").alias("cy"), "cluster", shown.alias("shown"))
+    if names is not None:
+        out = out.withColumn("text", cluster_text(F.col("cluster"), names))
+    if codebook is not None:
+        out = out.join(umatrix.reduced(spark, codebook, columns, rows, toroid), "neuron")
+    if assigned is not None:
+        marks = umatrix.hits(assigned).select((F.col("bmu") - 1).alias("neuron"), "hits", "radius")
+        out = out.join(marks, "neuron", "left").fillna({"hits": 0, "radius": 0.0})
+    return out
+
+
+def cluster_text(cluster: Column, names: dict[int, str]) -> Column:
+    """The label given to a cluster, else its number."""
+    out = cluster.cast("string")
+    for k, name in names.items():
+        out = F.when(cluster == k, F.lit(name)).otherwise(out)
+    return out
+
+
+def cluster_labels(spark: SparkSession, labels: np.ndarray, columns: int, rows: int, names: dict[int, str] | None = None) -> DataFrame:
+    """(part, cluster, cx, cy, text): one label for each connected part of a cluster, at its centre."""
+    parts = cluster.parts(spark, labels, columns, rows).select("part", "cluster", "cx", "cy").distinct()
+    return parts.withColumn("text", cluster_text(F.col("cluster"), names or {}))
 
 
 def torus(spark: SparkSession, columns: int, rows: int, inner: float = 0.4) -> DataFrame:
@@ -104,3 +127,43 @@ def svg(hexagons: list[tuple[float, float, float | None]], radius: float = 1 / m
     xs, ys = [x for x, *_ in hexagons] or [0], [y for _, y, _ in hexagons] or [0]
     box = [unit * (min(xs) - 1), unit * (min(ys) - 1), unit * (max(xs) - min(xs) + 2), unit * (max(ys) - min(ys) + 2)]
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="{" ".join(f"{b:.2f}" for b in box)}">{"".join(out)}</svg>'
+
+
+def line_chart(lines: dict[str, list[tuple[float, float]]], title: str = "", x: str = "", y: str = "", at: float | None = None, size: tuple[int, int] = (640, 280)) -> str:
+    """SVG of lines by name, over a frame with the axes' ends; at: an upright line. For ROC curves, threshold sweeps and index scans."""
+    points = [p for line in lines.values() for p in line if all(map(math.isfinite, p))]
+    (x0, x1), (y0, y1) = ((min(v), max(v)) if (v := [p[i] for p in points]) else (0.0, 1.0) for i in (0, 1))
+    w, h, edge = *size, 40
+    across = lambda v: edge + (w - 2 * edge) * (v - x0) / ((x1 - x0) or 1)
+    up = lambda v: h - edge - (h - 2 * edge) * (v - y0) / ((y1 - y0) or 1)
+    text = lambda a, b, t, anchor="middle": f'<text x="{a:.1f}" y="{b:.1f}" text-anchor="{anchor}" font-size="12">{escape(t)}</text>'
+    out = [f'<rect x="{edge}" y="{edge}" width="{w - 2 * edge}" height="{h - 2 * edge}" fill="none" stroke="#888"/>', text(w / 2, edge / 2, title), text(w / 2, h - 6, x), text(4, edge - 8, y, "start")]
+    out += [text(edge, h - edge + 14, f"{x0:g}"), text(w - edge, h - edge + 14, f"{x1:g}"), text(edge - 4, h - edge, f"{y0:g}", "end"), text(edge - 4, edge + 4, f"{y1:g}", "end")]
+    shades = ("#1b4f8a", "#b3541e", "#3d7a3d", "#7a3d7a", "#555")
+    for k, (name, line) in enumerate(lines.items()):
+        path = " ".join(f"{across(a):.2f},{up(b):.2f}" for a, b in line if math.isfinite(a) and math.isfinite(b))
+        out += [f'<polyline points="{path}" fill="none" stroke="{shades[k % 5]}"/>', f'<g fill="{shades[k % 5]}">{text(w - edge - 4, edge + 16 * (k + 1), name, "end")}</g>']
+    if at is not None:
+        out.append(f'<line x1="{across(at):.2f}" x2="{across(at):.2f}" y1="{edge}" y2="{h - edge}" stroke="#000"/>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w} {h}">{"".join(out)}</svg>'
+
+
+def threshold_chart(sweep: DataFrame, label: str, best: float | None = None) -> str:
+    """Accuracy and rates of false negatives and positives of a label, in percent, over the thresholds."""
+    rows = sweep.where(F.col("label") == label).orderBy("threshold").collect()  # one row a threshold
+    return line_chart({n: [(r["threshold"], 100 * r[c]) for r in rows] for n, c in (("accuracy", "accuracy"), ("false negatives", "fnr"), ("false positives", "fpr"))}, f"Thresholds: {label}", "threshold", "%", best)
+
+
+def roc_chart(curve: DataFrame, most: int = 10_000) -> str:
+    """ROC curves of all labels; of a curve of more points, most / 2 steps of the false positive rate are drawn, each with its highest rate."""
+    lines: dict[str, list[tuple[float, float]]] = {}
+    steps = curve.groupBy("label", F.round(F.col("fpr") * (most // 2)).alias("step")).agg(F.min("fpr").alias("fpr"), F.min("tpr").alias("low"), F.max("tpr").alias("tpr"))
+    for r in steps.orderBy("label", "step").collect():
+        lines.setdefault(r["label"], [(0.0, 0.0)]).extend([(r["fpr"], r["low"]), (r["fpr"], r["tpr"])])
+    return line_chart({k: [*v, (1.0, 1.0)] for k, v in lines.items()}, "ROC", "false positive rate", "true positive rate")
+
+
+def index_chart(scan: DataFrame) -> str:
+    """The Davies-Bouldin index over k: mean and quartiles of all iterations."""
+    rows = cluster.index_by_k(scan).orderBy("k").collect()  # one row a k
+    return line_chart({n: [(float(r["k"]), r[n]) for r in rows] for n in ("mean", "q25", "q75")}, "Davies-Bouldin index", "clusters")

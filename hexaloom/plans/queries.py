@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import kernel
-from ..functions.normalize import denormalize, feature_stats, normalize, to_vector
+from ..functions.normalize import Stats, denormalize, feature_stats, normalize, to_vector
 from ..functions.scalars import min_decimals
 from ..operators import cluster, evaluate, lattice, plotdata, samples, umatrix
 from ..operators.assign import assign, assign_sql, bmu
 from ..operators.update import smooth, voronoi_sums
 
-from .estimator import SelfOrganizingMap
+from .estimator import SelfOrganizingMap, SomModel
 from .schedule import fine, rough
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,12 +110,8 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, n, side AS columns, side + side % 2 AS rows FROM (SELECT n, CAST(round(sqrt(5 * sqrt(n))) AS INT) AS side FROM (SELECT count(*) AS n FROM {t}))" for t in TABLES))
 def expected_mapsize(spark, d):
-    counts = [read(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "n") for t in TABLES]
-    every = counts[0]
-    for c in counts[1:]:
-        every = every.union(c)
-    side = F.round(F.sqrt(5 * F.sqrt("n"))).cast("int")
-    return every.select("tbl", "n", side.alias("columns"), (side + side % 2).alias("rows"))
+    counts = {t: read(spark, d, t).count() for t in TABLES}
+    return spark.createDataFrame([(t, n, *lattice.expected_size(n)) for t, n in counts.items()], "tbl string, n long, columns int, rows int")
 
 
 @query("SELECT l_orderkey, l_linenumber, nullif(l_tax, 0) AS l_tax FROM lineitem")
@@ -278,7 +274,7 @@ def topographic_error(spark, d):
 
 @query()
 def som_train_flagship(spark, d):
-    df = read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    df = feature_columns(spark, d)
     model = SelfOrganizingMap(map_size=(C, R), seed=7).fit(df)
     return model.results(df)
 
@@ -330,11 +326,25 @@ def neurons_table(spark, d):
     return neurons_of(spark, d)
 
 
-@query(f"{_N}, {_search(0)} SELECT id AS sample_id, round(sqrt(d2), 6) AS q_error, nt.* FROM b0 JOIN nt ON BMU = n + 1")
+def fixed_model(spark, d) -> SomModel:
+    """A model of the fixed codebook, without normalization, for samples with columns f0 to f63."""
+    w = first_codebook(spark, d)
+    names = [f"f{i}" for i in range(w.shape[1])]
+    n = len(names)
+    return SomModel(SelfOrganizingMap(map_size=(C, R), normalization=None), names, Stats(names, [0.0] * n, [1.0] * n, [0.0] * n, [0.0] * n, [0] * n, 0), (C, R), w)
+
+
+def feature_columns(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+
+
+_UDIST = "(u - min(u) OVER ()) / (max(u) OVER () - min(u) OVER ())"
+
+
+@query(f"{_N.replace(f'round({_UDIST}, 6)', f'CAST({_UDIST} AS FLOAT)')}, {_search(0)} SELECT id AS sample_id, CAST(sqrt(d2) AS FLOAT) AS q_error, nt.* FROM b0 JOIN nt ON BMU = n + 1")
 def results_table(spark, d):
-    a = shown(assign(vectors(spark, d), first_codebook(spark, d))).select("sample_id", F.col("bmu").alias("own"), F.col("dist").alias("q_error"))
-    n = neurons_of(spark, d)
-    return a.join(F.broadcast(n), F.col("own") == F.col("BMU")).select("sample_id", "q_error", *n.columns)  # as large as the map
+    rows = fixed_model(spark, d).results(feature_columns(spark, d))
+    return rows.select("sample_id", "q_error", "BMU", "Udist", "Ret_x", "Ret_y", "Cub_x", "Cub_y", "Cub_z", "B_f0", "B_f1")
 
 
 _STEPS = "CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE -0.5 END", "CASE k WHEN 0 THEN 0.0 ELSE sqrt(3.0) / 2 END"
@@ -373,7 +383,7 @@ def project_partial(spark, d):
     part = vectors(spark, d).select("sample_id", F.slice("x", 1, 60).alias("x"))
     a = assign(part, w[:, :60])
     n = umatrix.codebook_table(spark, w).select((F.col("neuron") + 1).alias("bmu"), "w")
-    rows = a.join(F.broadcast(n), "bmu").select("sample_id", "bmu", F.posexplode("w").alias("pos", "v")).where("pos >= 60")  # as large as the map
+    rows = a.join(F.broadcast(n), "bmu").select("sample_id", "bmu", F.posexplode("w").alias("pos", "v")).where("pos >= 60")  # 48 neurons
     return rows.select("sample_id", "bmu", "pos", r6(F.col("v")).alias("predicted"))
 
 
@@ -421,7 +431,7 @@ def davies_bouldin(spark, d):
 def cluster_results(spark, d):
     a = assign(vectors(spark, d), first_codebook(spark, d))
     c = spark.createDataFrame([(i + 1, int(v) + 1) for i, v in enumerate(fixed_labels(spark, d))], "bmu int, cluster int")
-    return a.join(F.broadcast(c), "bmu").select("sample_id", "bmu", "cluster")  # as large as the map
+    return a.join(F.broadcast(c), "bmu").select("sample_id", "bmu", "cluster")  # 48 neurons
 
 
 @query(f"WITH {E}, {W0}, {NEAR}, {KM}, inside AS (SELECT cell.n, k, CAST((y + dy) * {C} + x + dx AS INT) AS m FROM cell JOIN step ON y % 2 = odd WHERE x + dx BETWEEN 0 AND {C - 1} AND y + dy BETWEEN 0 AND {R - 1}) SELECT a.c + 1 AS cluster, cell.n AS neuron, step.k FROM cell JOIN step ON y % 2 = odd JOIN l5 a ON a.n = cell.n WHERE NOT EXISTS (SELECT 1 FROM inside i JOIN l5 b ON b.n = i.m WHERE i.n = cell.n AND i.k = step.k AND b.c = a.c)")
@@ -461,15 +471,15 @@ def confusion_report(spark, d):
     return evaluate.rates(evaluate.confusion(scored(spark, d), 0.5))
 
 
-_SWEEP = f"{_SCORED}, t AS (SELECT i / 100.0 AS threshold FROM range(101) r(i)), sw AS (SELECT label, threshold, count(*) FILTER (truth = 1 AND p <= threshold + 1e-9) * 1.0 / count(*) FILTER (truth = 1) AS fnr, count(*) FILTER (truth = 0 AND p > threshold + 1e-9) * 1.0 / count(*) FILTER (truth = 0) AS fpr FROM p, t GROUP BY 1, 2)"
+_SWEEP = f"{_SCORED}, t AS (SELECT i / 100.0 AS threshold FROM range(101) r(i)), sw AS (SELECT label, threshold, count(*) FILTER (truth = 1 AND p <= threshold + 1e-9) * 1.0 / count(*) FILTER (truth = 1) AS fnr, count(*) FILTER (truth = 0 AND p > threshold + 1e-9) * 1.0 / count(*) FILTER (truth = 0) AS fpr, count(*) FILTER ((truth = 1) = (p > threshold + 1e-9)) * 1.0 / count(*) AS accuracy FROM p, t GROUP BY 1, 2)"
 
 
-@query(f"WITH {_SWEEP} SELECT label, threshold, round(fnr, 6) AS fnr, round(fpr, 6) AS fpr FROM sw")
+@query(f"WITH {_SWEEP} SELECT label, threshold, round(fnr, 6) AS fnr, round(fpr, 6) AS fpr, round(accuracy, 6) AS accuracy FROM sw")
 def threshold_sweep(spark, d):
-    return evaluate.threshold_sweep(scored(spark, d)).select("label", "threshold", r6(F.col("fnr")).alias("fnr"), r6(F.col("fpr")).alias("fpr"))
+    return evaluate.threshold_sweep(scored(spark, d)).select("label", "threshold", *[r6(F.col(c)).alias(c) for c in ("fnr", "fpr", "accuracy")])
 
 
-@query(f"WITH {_SWEEP} SELECT label, CASE WHEN threshold = 0 THEN 0.01 ELSE threshold END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(abs(fnr - fpr), 9), threshold) AS rk FROM sw) WHERE rk = 1")
+@query(f"WITH {_SWEEP} SELECT label, CASE WHEN threshold = 0 THEN 0.01 ELSE threshold END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(abs(round(100 * fnr, 2) - round(100 * fpr, 2)), 2), threshold) AS rk FROM sw) WHERE rk = 1")
 def best_threshold(spark, d):
     return evaluate.best_threshold(evaluate.threshold_sweep(scored(spark, d)))
 
@@ -533,14 +543,14 @@ def torus_triangles(spark, d):
     return plotdata.torus_triangles(spark, C, R)
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {W0}, {NEAR}, {KM}, inside AS (SELECT cell.n, CAST((y + dy) * {C} + x + dx AS INT) AS m FROM cell JOIN step ON y % 2 = odd WHERE x + dx BETWEEN 0 AND {C - 1} AND y + dy BETWEEN 0 AND {R - 1}), edge AS (SELECT i.n, i.m FROM inside i JOIN l5 a ON a.n = i.n JOIN l5 b ON b.n = i.m WHERE a.c = b.c), reach AS (SELECT n, n AS m FROM l5 UNION SELECT r.n, e.m FROM reach r JOIN edge e ON e.n = r.m), part AS (SELECT n, CAST(min(m) AS INT) AS part FROM reach GROUP BY 1) SELECT n AS neuron, c + 1 AS cluster, part, round(avg(x + 0.5 * (y % 2)) OVER (PARTITION BY part), 6) AS cx, round(avg(y * sqrt(3.0) / 2) OVER (PARTITION BY part), 6) AS cy FROM part JOIN l5 USING (n) JOIN cell USING (n)")
 def cluster_parts(spark, d):
-    return cluster.parts(spark, fixed_labels(spark, d) + 1, C, R)
+    return cluster.parts(spark, fixed_labels(spark, d) + 1, C, R).withColumn("cx", r6(F.col("cx"))).withColumn("cy", r6(F.col("cy")))
 
 
 @query()
 def davies_bouldin_scan(spark, d):
-    return cluster.davies_bouldin_scan(spark, first_codebook(spark, d), max_clust=8, n_iter=5)
+    return cluster.davies_bouldin_scan(spark, first_codebook(spark, d))
 
 
 QUERIES["voronoi_sums"] = QUERIES.pop("voronoi_sums_query")

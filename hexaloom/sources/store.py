@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import zipfile
+from dataclasses import replace
+from xml.etree import ElementTree
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators import umatrix
-from ..operators.samples import representative_lists
+from ..operators.samples import mask, representative_lists
 from ..plans.estimator import SelfOrganizingMap, SomModel
 
 FORMATS = ("parquet", "csv", "json", "orc")
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A table of samples. csv has a header; without a schema its types are found by a pass of its own."""
+    """A table of samples. csv has a header; without a schema its types are found by a pass of its own. xlsx: read_workbook()."""
+    if fmt == "xlsx":
+        return read_workbook(spark, path)
     if fmt not in FORMATS:
         raise ValueError(f"formats are {FORMATS}")
     reader = spark.read.format(fmt)
@@ -25,6 +34,37 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", schema: s
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def read_workbook(spark: SparkSession, path: str, sheet: int = 1, most_bytes: int = 256 << 20) -> DataFrame:
+    """The first table of an xlsx sheet: a row of names, then rows. A column whose cells are all numbers (or empty, which is null) is double, any other
+    string; rows without cells are left out. Any file system that Spark reaches; files beyond most_bytes, unpacked, are refused."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if sum(i.file_size for i in z.infolist()) > most_bytes:
+            raise ValueError(f"more than {most_bytes} bytes; save the sheet as csv instead")
+        shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+    rows = []
+    for r in root.iter(f"{_SHEET}row"):
+        cells: dict[int, object] = {}
+        for c in r.iter(f"{_SHEET}c"):
+            letters = re.match("[A-Z]*", c.get("r", ""))[0]
+            at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+            value, kind = c.find(f"{_SHEET}v"), c.get("t", "n")
+            if kind == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+            elif value is not None and value.text is not None:
+                cells[at] = shared[int(value.text)] if kind == "s" else float(value.text) if kind in ("n", "b") else value.text
+        if cells:
+            rows.append(cells)
+    if not rows:
+        raise ValueError("an empty sheet")
+    names = {k: str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for k, v in rows[0].items()}
+    number = {k: all(isinstance(r.get(k, 0.0), float) for r in rows[1:]) for k in names}
+    schema = StructType([StructField(n, DoubleType() if number[k] else StringType()) for k, n in names.items()])
+    shown = lambda v, k: v if v is None or number[k] else f"{v:g}" if isinstance(v, float) else v
+    return spark.createDataFrame([tuple(shown(r.get(k), k) for k in names) for r in rows[1:]], schema)
+
+
 def from_array(spark: SparkSession, x: np.ndarray) -> DataFrame:
     """sample_id Sample_1, ... (plain numbers from 10000 rows on) and Var_1, ...; NaN is missing. The array stays as it is."""
     if not isinstance(x, np.ndarray) or x.ndim != 2:
@@ -76,6 +116,32 @@ def load(spark: SparkSession, path: str) -> SomModel:
     return SomModel(SelfOrganizingMap(**settings), p["features"], Stats(**p["stats"]), tuple(p["size"]), np.array([w for _, w in rows]), p["phases"], [tuple(h) for h in p["history"]])
 
 
+def from_tables(neurons: DataFrame, samples: DataFrame, settings: SelfOrganizingMap, size: tuple[int, int]) -> SomModel:
+    """A model from a table of neurons (BMU from 1, B_<feature> in the features' own units) and the table it was trained on, whose statistics normalize
+    the weights; the name gets the suffix _loaded."""
+    from ..functions.normalize import feature_stats, normalizer
+
+    rows = neurons.orderBy("BMU").collect()  # one row a neuron
+    if [r["BMU"] for r in rows] != list(range(1, size[0] * size[1] + 1)):
+        raise ValueError("the neurons aren't those of a map of this size")
+    features = [c[2:] for c in neurons.columns if c.startswith("B_")]
+    stats = feature_stats(mask(samples, features, settings.mask) if settings.mask is not None else samples, features)
+    weights = np.array([[r[f"B_{f}"] for f in features] for r in rows], float)
+    codebook = normalizer(settings.normalization).apply_array(weights, np.array(stats.mean, float), np.array(stats.std, float))
+    return SomModel(replace(settings, name=settings.name + "_loaded"), features, stats, size, codebook)
+
+
+def write_svg(spark: SparkSession, image: str, path: str) -> None:
+    """A plot as a text file in a folder of its own."""
+    _write_text(spark, image, path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Lines "BMU k: text" of sample_labels(), in order of k: the texts that stand on a U-matrix."""
+    lines = labels.orderBy("bmu").select(F.concat(F.lit("BMU "), F.col("bmu"), F.lit(": "), F.col("text")).alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_representatives(ranked: DataFrame, path: str) -> None:
     """Lines "BMU k: a, b", nearest samples first, in order of k."""
     lines = representative_lists(ranked).orderBy("bmu").select(F.concat(F.lit("BMU "), F.col("bmu"), F.lit(": "), F.array_join("samples", ", ")).alias("value"))

@@ -312,3 +312,120 @@ def test_streams(spark, points, tmp_path):
     q.awaitTermination()
     assert np.abs(model.codebook - before).max() > 0.1
     assert np.abs(model.codebook - (before + new) / 2).max() < 1e-5
+
+
+def test_scan_equals_a_plain_loop(spark, points):
+    w = points[::6]
+    got = {(r.iteration, r.k): r.dbi for r in cluster.davies_bouldin_scan(spark, w, max_clust=5, n_iter=3, seed=4).collect()}
+    z = (w - w.mean(0)) / w.std(0)
+
+    def index(labels):
+        groups = [z[labels == k] for k in sorted(set(labels))]
+        centres = [g.mean(0) for g in groups]
+        spread = [np.mean([math.dist(p, c) for p in g]) for g, c in zip(groups, centres)]
+        n = len(groups)
+        return np.mean([max((spread[i] + spread[j]) / math.dist(centres[i], centres[j]) for j in range(n) if j != i) for i in range(n)])
+
+    def plain(k, seed):
+        rng, best = np.random.default_rng(seed), None
+        for _ in range(5):
+            centres = z[rng.choice(len(z), k, replace=False)]
+            for _ in range(200):
+                labels = np.array([min(range(k), key=lambda c: round(float(((p - centres[c]) ** 2).sum()), 9)) for p in z])
+                new = np.array([z[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(k)])
+                if np.array_equal(new, centres):
+                    break
+                centres = new
+            cost = sum(float(((p - centres[c]) ** 2).sum()) for p, c in zip(z, labels))
+            if best is None or cost < best[0]:
+                best = cost, labels
+        return index(best[1])
+
+    assert set(got) == {(i, k) for i in (1, 2, 3) for k in range(2, 6)}
+    assert all(math.isclose(v, plain(k, 4 + 1000 * i + k), rel_tol=1e-9) for (i, k), v in got.items())
+
+
+def test_offsets_stand_for_all_pairs_of_neurons():
+    rng = np.random.default_rng(2)
+    for columns, rows, toroid, power in ((6, 4, True, 2), (7, 6, True, 2), (5, 6, False, 2), (1, 8, False, 2), (9, 2, True, 1)):
+        d = lattice.distance_array(columns, rows, toroid, power)
+        table = rng.random((columns * rows, 3))
+        got = lattice.Grid(columns, rows, toroid, power).weigh(lambda x: np.exp(-x / 3)) @ table
+        assert np.allclose(got, np.exp(-d / 3) @ table), (columns, rows, toroid)
+
+
+def test_pca_covariance(spark, points):
+    from hexaloom.plans.estimator import _covariance
+
+    ready = to_vector(table(spark, points), "sample_id", list("abc")).repartition(3)
+    assert np.allclose(_covariance(ready, 3), np.cov(points.T))
+    assert not _covariance(ready.limit(1), 3).any()
+
+
+def test_cluster_maps_with_labels_and_overlays(spark, points):
+    model = fit(spark, points)
+    labels = model.kmeans(3)
+    hits = assign(model.vectors(table(spark, points)), model.codebook)
+    rows = plotdata.cluster_plot(spark, labels, 6, 4, names={1: "ore", 3: "host rock"}, codebook=model.codebook, assigned=hits).collect()
+    assert len(rows) == 24 and sum(r.hits for r in rows) == len(points)
+    assert {(r.cluster, r.text) for r in rows} == {(1, "ore"), (2, "2"), (3, "host rock")}
+    u = {r.neuron: r.u for r in umatrix.reduced(spark, model.codebook, 6, 4).collect()}
+    assert all(math.isclose(r.u, u[r.neuron]) and (r.radius > 0) == (r.hits > 0) for r in rows)
+    parts = plotdata.cluster_labels(spark, labels, 6, 4, {2: "till"}).collect()
+    assert {r.cluster for r in parts} == {1, 2, 3} and all((r.text == "till") == (r.cluster == 2) for r in parts)
+
+
+def test_charts(spark, tmp_path):
+    scored = spark.createDataFrame([("l", i % 2, (i % 7) / 7 + 0.01 * i) for i in range(40)], "label string, truth int, p double")
+    sweep = evaluate.threshold_sweep(scored)
+    rows = sweep.orderBy("threshold").collect()
+    assert all(math.isclose(r.accuracy, sum((p > r.threshold + 1e-9) == bool(y) for _, y, p in scored.collect()) / 40) for r in rows)
+    best = evaluate.best_threshold(sweep).first().threshold
+    gaps = [round(abs(round(100 * r.fnr, 2) - round(100 * r.fpr, 2)), 2) for r in rows]
+    assert best == (rows[gaps.index(min(gaps))].threshold or 0.01)
+    image = plotdata.threshold_chart(sweep, "l", best)
+    assert image.count("<polyline") == 3 and image.count("<line") == 1
+    assert plotdata.roc_chart(evaluate.roc(scored)).count("<polyline") == 1
+    assert plotdata.index_chart(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.7), (2, 2, 0.6), (2, 3, 0.4)], "iteration int, k int, dbi double")).count("<polyline") == 3
+    assert "&lt;" in plotdata.line_chart({"<": [(0, 1), (1, math.nan)]})
+    store.write_svg(spark, image, f"file://{tmp_path}/svg")
+    assert spark.read.text(f"file://{tmp_path}/svg", wholetext=True).first()[0].strip() == image
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    cell = lambda r, v: f'<c r="{r}"><v>{v}</v></c>' if isinstance(v, float) else f'<c r="{r}" t="s"><v>{v}</v></c>'
+    sheet = "<row>" + cell("A1", 0) + cell("B1", 1) + cell("AA1", 2) + "</row><row>" + cell("A2", 3) + cell("B2", 1.5) + "</row><row></row><row>" + cell("B4", 2.0) + '<c r="AA4" t="inlineStr"><is><t>x</t></is></c></row>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>name</t></si><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si><si><t>D1</t></si></sst>')
+    df = store.read_samples(spark, f"file://{tmp_path}/b.xlsx", "xlsx")
+    assert df.dtypes == [("name", "string"), ("a", "double"), ("bc", "string")]
+    assert [tuple(r) for r in df.collect()] == [("D1", 1.5, None), (None, 2.0, "x")]
+    with pytest.raises(ValueError):
+        store.read_workbook(spark, f"file://{tmp_path}/b.xlsx", most_bytes=10)
+
+
+def test_models_from_tables_and_labels(spark, points, tmp_path):
+    df = table(spark, points)
+    model = fit(spark, points)
+    again = store.from_tables(model.neurons(spark), df, model.settings, model.size)
+    assert again.settings.name.endswith("_loaded") and np.abs(again.codebook - model.codebook).max() < 1e-5
+    assert [r.BMU for r in again.results(df).orderBy("sample_id").collect()] == [r.BMU for r in model.results(df).orderBy("sample_id").collect()]
+    with pytest.raises(ValueError):
+        store.from_tables(model.neurons(spark).limit(3), df, model.settings, model.size)
+    labels = plotdata.sample_labels(model.representatives(df), names=[3, 50])
+    store.write_labels(labels, f"file://{tmp_path}/labels")
+    lines = [r[0] for r in spark.read.text(f"file://{tmp_path}/labels").collect()]
+    assert len(lines) == labels.count() and all(x.startswith("BMU ") and (": 3(" in x or ": 50(" in x) for x in lines)
+    # a pretrained start and a normalizer of one's own
+    from hexaloom.functions import normalize as norm
+
+    norm.register(norm.Normalizer("tenth", lambda c, m, s: c / 10, lambda c, m, s: c * 10, lambda x, m, s: x / 10, lambda x, m, s: x * 10))
+    other = SelfOrganizingMap(map_size=(6, 4), rough_epochs=1, fine_epochs=1, normalization="tenth").fit(df, codebook=points[:24] / 10)
+    assert np.abs(other.weights - other.codebook * 10).max() < 1e-9
+    store.write_report(model, df, f"file://{tmp_path}/report")
+    assert "quantization error" in spark.read.text(f"file://{tmp_path}/report", wholetext=True).first()[0]
+    gaps = spark.createDataFrame([(1, None, 2.0), (2, 1.0, None)], "sample_id int, a double, b double")
+    assert sorted(tuple(r) for r in samples.missing_cells(gaps, "sample_id", ["a", "b"]).collect()) == [(1, "a"), (2, "b")]
