@@ -23,7 +23,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import similar
@@ -341,6 +341,18 @@ def _settler(least: float):
     return run
 
 
+def _chained(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same: each node with the least it is linked with, and that one with the others, each pair once.
+
+    Members of a large group are linked in each of their groups, with much the same leaders; so those links become one a member and a
+    few among leaders. A node is the greater end of no more links than blocks and keys allow, so a window holds them.
+    """
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = links.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    pairs = least.select(F.explode(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    return pairs.where("a <> b").distinct()
+
+
 def _between(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members (a, node, mask, block, n_blocks, ...) of groups of many blocks, for comparing what is in different components between blocks.
 
@@ -403,6 +415,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         members = listed.join(reps.select(F.col("node").alias("r"), F.col("rep.id").alias("id"), F.col("rep.hash").alias("hash"), F.col("rep.times").alias("times"), F.greatest("rep.size", F.lit(block_bytes // block)).alias("weight")), F.col("node") == F.col("r")).drop("r")
         members = materialise(members, "members")
         drop(stars)
+        slim = materialise(sk.select("id", "node", "n_words", "hash"), "rows")
+        drop(sk)
         # of a row that is repeated in id and text one stays
         here = docs.select(col(doc_id).alias("d_id"), text_hash(col(text)).alias("d_hash"), col(text).alias("text"))
         if members.where("times > 1").limit(1).count():
@@ -411,7 +425,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         def linked(rows: DataFrame) -> DataFrame:
             full = here.join(rows, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_hash") == F.col("hash"))).select("a", "i", "j", "lead", "node", "comp", "side", "mask", "text")
             groups = full.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", F.desc("lead"), "node")
-            return materialise(groups.mapInArrow(_settler(least), "a binary, b binary"), "links")
+            return materialise(_chained(groups.mapInArrow(_settler(least), "a binary, b binary")), "links")
 
         large = materialise(members.groupBy("a").agg(F.sum("weight").alias("weight")).where(F.col("weight") > block_bytes).select("a", F.ceil(F.col("weight") / block_bytes).cast("int").alias("n_blocks")), "large")
         some_large = large.limit(1).count() > 0
@@ -433,8 +447,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         named = reps.join(found.select(F.col("node").alias("f"), F.col("component").alias("comp")), F.col("node") == F.col("f"), "left").select("node", "n", F.struct("rep.no_id", "rep.id", "node").alias("own"), "comp")
         best = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("own").alias("least_own"))
         classes = materialise(salted_join(named, best.withColumnRenamed("comp", "b_comp"), F.col("comp") == F.col("b_comp"), "node", 8, "left").select("node", "n", F.coalesce("least_own", "own").alias("best")), "classes")
-        tables.keep(sk, classes)
-    rows = spread_join(sk.select("id", "node", "n_words", "hash"), classes.select("node", "best"), classes.select("node", "n"))
+        tables.keep(slim, classes)
+    rows = spread_join(slim, classes.select("node", "best"), classes.select("node", "n"))
     alone = F.col("best").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("best.id"))
     kept = alone | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")))
