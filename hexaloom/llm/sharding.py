@@ -25,15 +25,16 @@ def _chance(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *cols), 11) / F.lit(float(1 << 53))
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None, ranges_per_shard: int = 16, draws_per_range: int = 32) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None, ranges_per_shard: int = 16, draws_per_range: int = 32, part_bytes: int = 1 << 30) -> DataFrame:
     """The carried columns of docs with size, text_crc32, law ("bytes"), shard and slot.
 
     Size is the UTF-8 bytes of the text (null: none) plus 16. Shards hold consecutive records of the order, each within
     one record of total / shards bytes; slot counts the records of a shard from 0 without gaps. The key is the hash of
     the text, so equal texts stand together, and are parted only where a shard ends. Rows equal in text and id are
     ordered by chance and all kept; null ids are ordered first. Carried columns with an output's name give way. The
-    driver receives about shards * ranges_per_shard * draws_per_range sampled keys and as many range sizes as there are
-    ranges, numbers that don't depend on the table. An empty table gives no rows.
+    driver receives about shards * ranges_per_shard * draws_per_range sampled keys, a number that doesn't depend on the table, and a
+    size of each range, and of each part of about part_bytes of the ranges that are larger: tasks follow the bytes, not the shards.
+    Texts are read whole, however long. An empty table gives no rows.
     """
     spark = docs.sparkSession
     produced = ["size", "text_crc32", "law", "shard", "slot"]
@@ -75,7 +76,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", doc_id:
     # an overfull range is cut by row hash into parts of usual size; parts of a range are as good as ranges, in any order
     part = lambda of: F.pmod(F.xxhash64("__row"), of)
     measured = {r["__range"]: r["b"] for r in placed.groupBy("__range").agg(F.sum("size").alias("b")).collect()}
-    usual = max(total / n_ranges, most)
+    usual = max(min(total / n_ranges, part_bytes), most)
     overfull = {k: int(b / usual) + 1 for k, b in measured.items() if b > 4 * usual}
     cuts = F.create_map(*[F.lit(x) for kv in overfull.items() for x in kv]) if overfull else None
     placed = placed.withColumn("__part", part(F.coalesce(cuts[F.col("__range")], F.lit(1))).cast("int") if overfull else F.lit(0))

@@ -44,3 +44,28 @@ def test_odd_tables(spark, tmp_path):
     assert assign_shards(docs.limit(0), shards=2).count() == 0
     write_shards(docs, f"file://{tmp_path}/s", shards=2)
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 5
+
+
+def test_shards_equal_a_sorted_list(spark):
+    texts = corpus(0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS k").collect()}
+    sizes = [len((t or "").encode()) + 16 for t in texts]
+    total, at, expected, slots = sum(sizes), 0, {}, {}
+    for i in sorted(range(len(texts)), key=lambda i: (keys[i], i)):
+        at += sizes[i]
+        s = min(6, int((at - sizes[i] / 2) * 7 / total))
+        expected[i] = s, slots.get(s, 0)
+        slots[s] = slots.get(s, 0) + 1
+    for options in ({}, {"ranges_per_shard": 3, "draws_per_range": 4}):
+        assert {r.doc_id: (r.shard, r.slot) for r in assign_shards(docs, shards=7, **options).collect()} == expected
+
+
+def test_parts_follow_the_bytes(spark):
+    texts = corpus(300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = assign_shards(docs, shards=3, ranges_per_shard=1, part_bytes=1000).collect()
+    total = sum(r["size"] for r in rows)
+    for s in range(3):
+        assert abs(sum(r["size"] for r in rows if r.shard == s) - total / 3) <= 2 * 20_016
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
