@@ -10,10 +10,11 @@ from dataclasses import replace
 from xml.etree import ElementTree
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..functions.normalize import quoted
 from ..operators import umatrix
 from ..operators.samples import mask, representative_lists
 from ..plans.estimator import SelfOrganizingMap, SomModel
@@ -170,7 +171,15 @@ def write_report(model: SomModel, df: DataFrame, path: str) -> None:
     _write_text(df.sparkSession, report(model, df), path)
 
 
-def numbered(df: DataFrame, by: str, name: str = "Sample_{}") -> DataFrame:
-    """sample_id for a table without one, by the order of a column. Ranks are counted by one task; give large tables a key of their own."""
+def numbered(df: DataFrame, by: str, name: str = "Sample_{}", parts: int = 64) -> DataFrame:
+    """sample_id for a table without one, by the order of a column: rows are sorted in ranges, and a range's numbers begin after the counts of those before."""
     before, after = name.split("{}")
-    return df.select(F.concat(F.lit(before), F.row_number().over(Window.orderBy(by)), F.lit(after)).alias("sample_id"), "*")
+    rows = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), quoted(by).alias("by"))
+    ordered = rows.repartitionByRange(parts, "by").sortWithinPartitions("by").select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    counts = dict(tuple(r) for r in ordered.groupBy("part").agg(F.count("*")).collect())
+    starts, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(p, 0)
+    start = F.array(*map(F.lit, starts or [0]))[F.col("part")]
+    return ordered.select(F.concat(F.lit(before), start + F.col("at") + 1, F.lit(after)).alias("sample_id"), "row.*")

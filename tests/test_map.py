@@ -429,3 +429,10 @@ def test_models_from_tables_and_labels(spark, points, tmp_path):
     assert "quantization error" in spark.read.text(f"file://{tmp_path}/report", wholetext=True).first()[0]
     gaps = spark.createDataFrame([(1, None, 2.0), (2, 1.0, None)], "sample_id int, a double, b double")
     assert sorted(tuple(r) for r in samples.missing_cells(gaps, "sample_id", ["a", "b"]).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_numbers_by_the_order_of_a_column(spark):
+    df = spark.createDataFrame([((i * 37) % 101, "a") for i in range(101)], "v int, part string").repartition(5)
+    rows = store.numbered(df, "v", "S{}x", parts=7).orderBy("v").collect()
+    assert [r.sample_id for r in rows] == [f"S{i + 1}x" for i in range(101)] and rows[0].part == "a"
+    assert store.numbered(df.limit(0), "v").count() == 0
