@@ -28,7 +28,11 @@ def squared(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Squared distances of samples to neurons. With missing cells, the sum over present ones is scaled up to all; without any, infinite."""
     there = ~np.isnan(x)
     if there.all():
-        return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ w.T) + (w * w).sum(1), 0)
+        d2 = x @ w.T
+        d2 *= -2
+        d2 += (x * x).sum(1)[:, None]
+        d2 += (w * w).sum(1)
+        return np.maximum(d2, 0, out=d2)
     x0 = np.where(there, x, 0.0)
     m = there.sum(1)
     part = np.maximum((x0 * x0).sum(1)[:, None] - 2 * (x0 @ w.T) + there @ (w * w).T, 0)
@@ -37,9 +41,21 @@ def squared(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def ranked(x: np.ndarray, w: np.ndarray, nth: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Neuron of rank nth by (distance, number), and its distance; -1 and NaN for samples without cells."""
-    d2 = np.round(squared(x, w), 9)
-    at = np.argmin(d2, 1) if nth == 1 else np.argsort(d2, 1, kind="stable")[:, nth - 1]
+    """Neuron of rank nth by (distance, number), and its distance; -1 and NaN for samples without cells. So many samples at a time that
+    their distances to all neurons stay in the processor's cache, or small at least."""
+    most = max(64, (1 << 19) // max(len(w), 1))
+    if len(x) > most:
+        parts = [ranked(x[i : i + most], w, nth) for i in range(0, len(x), most)]
+        return np.concatenate([at for at, _ in parts]), np.concatenate([dist for _, dist in parts])
+    d2 = squared(x, w)
+    if nth == 1:
+        at = np.argmin(d2, 1)
+        # ties are told at 9 places; only rows that may have one are rounded
+        near = d2 <= (d2[np.arange(len(x)), at] + 1e-9)[:, None]
+        tied = np.flatnonzero(np.count_nonzero(near, 1) > 1)
+        at[tied] = np.argmin(np.round(d2[tied], 9), 1)
+    else:
+        at = np.argsort(np.round(d2, 9), 1, kind="stable")[:, nth - 1]
     chosen = w[at]
     there = ~np.isnan(x)
     m = there.sum(1)
