@@ -359,8 +359,10 @@ def _between(members: DataFrame, comps: DataFrame) -> DataFrame:
     The component that most of a group is in is its home: home blocks are compared with those of strays, and these with each other.
     """
     known = members.join(comps.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("component", "node")).drop("c_node", "component")
+    known = materialise(known, "apart")  # rows without texts
     homes = known.groupBy("a", "comp").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "comp")).alias("h"), F.count("*").alias("comps")).where("comps > 1").select("a", F.col("h.comp").alias("home"))
     known = salted_join(known, homes.withColumnRenamed("a", "h_a"), F.col("a") == F.col("h_a"), "node", 32).drop("h_a")
+    known = materialise(known, "strays")
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     stray = F.col("comp") != F.col("home")
     columns = ["a", "node", "mask", "comp", "id", "hash"]
