@@ -114,18 +114,22 @@ def path_cost(a: list, b: list, most: int, ahead: int = 8) -> int:
     return cost + max(n - i, 0) + max(m - j, 0)
 
 
-def similar(a: list, b: list, least: float) -> bool:
+#: Rows of so many cells to either side cost hardly more than narrow ones.
+_CHEAP_BAND = 256
+
+
+def similar(a: list, b: list, least: float, counted: bool = False) -> bool:
     """Whether similarity() is at least `least`. Any path of few enough edits says so at once: one found by looking ahead, or one in a narrow band, which
-    is widened until it holds all that least allows."""
+    is widened until it holds all that least allows. counted: the words that only one of them holds are known to be few enough."""
     n = max(len(a), len(b))
     most, apart = int((1 - least) * n + 1e-9), abs(len(a) - len(b))
     if apart > most:
         return False
     if path_cost(a, b, most) <= most:
         return True
-    if _apart(a, b) > most:
+    if not counted and _apart(a, b) > most:
         return False
-    band = min(most, 14 if apart <= 7 else 2 * apart)
+    band = min(most, _CHEAP_BAND if most <= _CHEAP_BAND else 14 if apart <= 7 else 2 * apart)
     while True:
         if banded(a, b, band, most) <= most:
             return True

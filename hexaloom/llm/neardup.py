@@ -252,19 +252,18 @@ def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray
 
     Pairs count whose masks share a bit, whose comps differ, and, with sides, that are on different sides. The leader's are
     aligned first. The others that an alignment could join share one of the words that are rarest here, each repetition a word of its
-    own: a text of n words may lose int((1 - least) n) of them, so one more, rarest first, can't all be lost. Such pairs are aligned
-    unless they have been joined meanwhile, the most promising first.
+    own: a text of n words may lose int((1 - least) n) of them, so one more, rarest first, can't all be lost. Of such pairs all words
+    that both hold are counted, a text's pairs in one go, and those that hold enough in common are aligned unless they have been
+    joined meanwhile, the most promising first.
     """
     m = len(texts)
     comp = np.unique(comps, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
 
-    def join(i: int, j: int) -> bool:
-        if not similar(texts[i], texts[j], least):
-            return False
-        links.append((i, j))
-        comp[comp == comp[j]] = comp[i]
-        return True
+    def join(i: int, j: int, counted: bool = False) -> None:
+        if similar(texts[i], texts[j], least, counted):
+            links.append((i, j))
+            comp[comp == comp[j]] = comp[i]
 
     if leader is not None:
         for i in range(m):
@@ -291,6 +290,7 @@ def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray
     starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
     by = np.argsort(shown, kind="stable")
     owners, edges = owner[by], np.searchsorted(shown[by], np.arange(len(times) + 1))
+    here = np.zeros(len(times), bool)
     for i in np.flatnonzero(~home):
         mine = shown[starts[i] : starts[i + 1]]
         if not len(mine):
@@ -301,9 +301,15 @@ def settle(texts: list[list], least: float, masks: np.ndarray, comps: np.ndarray
         if sides is not None:
             ok &= sides[near] != sides[i]
         near = near[ok][np.argsort(-shared[ok], kind="stable")]
-        for j in near.tolist():
+        if not len(near):
+            continue
+        of_i = ranks[begin[i] : begin[i + 1]]
+        here[of_i] = True
+        both = np.add.reduceat(here[np.concatenate([ranks[begin[j] : begin[j + 1]] for j in near])], np.cumsum(n[near]) - n[near], dtype=np.int64)
+        here[of_i] = False
+        for j in near[both >= np.maximum(n[near], n[i]) - np.maximum(most[near], most[i])].tolist():
             if comp[j] != comp[i]:
-                join(i, j)
+                join(i, j, True)
     return links
 
 

@@ -6,9 +6,10 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hexaloom.llm.alignment import banded, edit_distance, path_cost, similar, similarity
+from hexaloom.llm import neardup
+from hexaloom.llm.alignment import _apart, banded, edit_distance, path_cost, similar, similarity
 from hexaloom.llm.components import components
-from hexaloom.llm.neardup import drop_near_duplicates, near_duplicates
+from hexaloom.llm.neardup import drop_near_duplicates, near_duplicates, settle
 from hexaloom.llm.shingles import kmers, order_min_hash, word_hashes
 from hexaloom.llm.words import words
 
@@ -38,6 +39,7 @@ def test_a_band_never_gives_less_than_the_distance(a, b, band, least):
     assert got >= d and (got == d or d > band)
     assert path_cost(a, b, 2 * n) >= d
     assert similar(a, b, least) == (not n or 1 - d / n >= least - 1e-12)
+    assert banded(a, b, band, n) > int((1 - least) * n + 1e-9) or similar(a, b, least, counted=True)
 
 
 def test_similarity():
@@ -143,3 +145,19 @@ def test_scattered_edits_at_the_threshold(spark):
     assert all(got[i + 1] == i for i in short)
     found = [got[i + 1] == i for i in range(0, len(texts), 2)]
     assert sum(found) / len(found) > 0.98
+
+
+def test_texts_of_one_long_repeated_line_are_aligned_only_if_their_words_allow_it(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    line = ["is", "on", "he"] * 70  # of 300 words 210 are one line again and again
+    origins = [[rng.choice(vocabulary) for _ in range(90)] for _ in range(20)]
+    texts = [o + line for o in origins] + [[w if rng.random() > 0.3 else f"new{k}" for w in o] + line for k, o in enumerate(origins)]
+    m, aligned = len(texts), []
+    expected = [i % 20 for i in range(m)]
+    assert all((similarity(texts[i], texts[j], 0.8) > 0) == (expected[i] == expected[j]) for i in range(m) for j in range(i))
+    monkeypatch.setattr(neardup, "similar", lambda a, b, *more: aligned.append((a, b)) or similar(a, b, *more))
+    links = settle(texts, 0.8, np.ones(m, np.int64), np.arange(m))
+    assert sorted(tuple(sorted(x)) for x in links) == [(i, i + 20) for i in range(20)]
+    assert len(aligned) < 3 * m  # of 780 pairs
+    assert all(_apart(a, b) <= 60 for a, b in aligned)
