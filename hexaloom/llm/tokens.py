@@ -9,6 +9,7 @@ any other file is used without memory, text by text.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -69,7 +70,7 @@ class Encoder:
     pieces, first pieces and marks are remembered within about 3 * limit bytes.
     """
 
-    def __init__(self, path: str, kind: str | None, limit: int = 48 << 20, specials: bool = True):
+    def __init__(self, path: str, kind: str | None, limit: int = 72 << 20, specials: bool = True):
         if kind not in (*KINDS, None):
             raise ValueError(f"kind is one of {KINDS} or None")
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,6 +78,7 @@ class Encoder:
         self.kind = kind
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.merges, self.shown = self.tokenizer.model, _shown_bytes()
+        self.blank = self.shown[32]
         self.pieces, self.heads, self.marks = _Pieces(self._learn_piece, limit), _Pieces(self._learn_head, limit // 4), _Pieces(self._learn_marks, limit // 4)
         # a text that may hold one of these isn't cut
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if kind else []
@@ -88,13 +90,25 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one plain word, blank included, past the steps that only find words."""
-        shown = word.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.merges.tokenize(shown)], "<u4").tobytes()
+        if word.isascii():  # letters are shown as they are
+            shown = self.blank + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.merges.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, memory: _Pieces, piece: str, blank: str) -> bytes:
-        if m := _PLAIN.fullmatch(piece):
+        if piece.isascii() and piece.isalpha():
+            ids = self._word(blank + piece if self.kind == "byte" else piece.lower())
+        elif m := _PLAIN.fullmatch(piece):
             word, marks = m.groups()
-            ids = memory[word] + self.marks[marks] if marks else self._word(blank + word if self.kind == "byte" else word.lower())
+            if not marks:
+                ids = self._word(blank + word if self.kind == "byte" else word.lower())
+            else:
+                met = word in memory or word in memory.old
+                ids = memory[word] + self.marks[marks]
+                if not met:  # most such words never come again, with these marks even less
+                    return ids
         elif self.kind == "byte" and (m := _TWO_LINES.fullmatch(piece)):
             ids = memory[m[1]] + self.marks["\n"] + self.heads[m[2]]
         else:

@@ -54,6 +54,19 @@ def test_memory_is_bounded_by_bytes():
     assert len(e.pieces.old) > 100
 
 
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_words_met_once_take_one_place_of_the_memory(kind):
+    e = Encoder(FILES[kind], kind)
+    once = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}x{mark}" for i, mark in enumerate(["", ",", ".", '")', "é", "é!"] * 60)]
+    text = " ".join(["a", *once])
+    held = []
+    for _ in range(3):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == ids(kind, text)
+        held.append(len(e.pieces))
+    plain = {p.rstrip(',.")!') for p in once}
+    assert held[0] <= len(plain) + 1 < held[2]  # with their marks from the second time on
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.data())
 def test_bits_round_trip(bits, data):
